@@ -115,88 +115,123 @@ def _signer(width: int, slots: int, bands: int):
     return sign
 
 
-def _keep_class(width: int):
-    """(node, text): only texts whose set is the node's, for ids that several texts share."""
+def _sets(width: int):
+    """(node, text) -> (node, set): only texts whose set is the node's, for ids that several texts share."""
 
-    def keep(batches):
+    def run(batches):
         hashes = WordHashes()
         for batch in batches:
-            right = [set_class(shingles(words_of(t), width, hashes)) == node for node, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            yield batch.filter(pa.array(right, pa.bool_()))
+            nodes, out = [], []
+            for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                x = shingles(words_of(text), width, hashes)
+                if set_class(x) == node:
+                    nodes.append(node), out.append(x.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(out, pa.binary())], names=["node", "set"])
 
-    return keep
+    return run
 
 
-def _checker(width: int, percent: int):
-    """Rows sorted by (centre, salt, kind): a centre's text, then the texts to check against it."""
+def _checker(percent: int):
+    """Rows sorted by (centre, salt, kind): a centre's set, then the sets to check against it."""
 
     def check(batches):
-        hashes, at, centre = WordHashes(), None, None
+        at, centre = None, None
         for batch in batches:
             a, b = [], []
-            for left, salt, kind, right, text in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            for left, salt, kind, right, data in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                x = np.frombuffer(data, np.uint64)
                 if kind == 0:
-                    at, centre = (left, salt), shingles(words_of(text), width, hashes)
-                elif at == (left, salt) and similar(centre, shingles(words_of(text), width, hashes), percent):
+                    at, centre = (left, salt), x
+                elif at == (left, salt) and similar(centre, x, percent):
                     a.append(left), b.append(right)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
     return check
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough.
 
-    Each b's text moves once; a's text moves once for every CHUNK of its pairs,
+    Each b's set moves once; a's set moves once for every CHUNK of its pairs,
     so an a with many pairs is spread over many tasks.
     """
-    pairs = pairs.withColumn("salt", F.lit(0))
-    counts = pairs.groupBy("a").agg(F.count("*").alias("n"))
-    salts = counts.select("a", F.floor((F.col("n") + CHUNK - 1) / CHUNK).alias("salts"))
-    pairs = pairs.drop("salt").join(salts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt"))
-    members = pairs.join(texts.select(F.col("node").alias("b"), "text"), "b").select("a", "salt", F.lit(1).alias("kind"), "b", "text")
-    centres = salts.join(texts.select(F.col("node").alias("a"), "text"), "a").select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("a").alias("b"), "text")
+    salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).alias("salts"))
+    pairs = pairs.join(salts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt"))
+    members = pairs.join(sets.select(F.col("node").alias("b"), "set"), "b").select("a", "salt", F.lit(1).alias("kind"), "b", "set")
+    centres = salts.join(sets.select(F.col("node").alias("a"), "set"), "a").select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("a").alias("b"), "set")
     dealt = centres.unionByName(members).repartition("a", "salt").sortWithinPartitions("a", "salt", "kind")
-    return dealt.mapInArrow(_checker(width, percent), "a binary, b binary")
+    return dealt.mapInArrow(_checker(percent), "a binary, b binary")
+
 
+def _linker(percent: int, slots: int):
+    """Groups (key, i, j) of sorted rows (key, i, j, own, node, comp, n, band, keys, sign, set): links between components.
 
-def _pair_up(percent: int, slots: int):
-    """Rows (key, i, j, side, node, comp, n, sign) sorted by (key, i, j): pairs of different components worth a check."""
+    A pair is tested in the first band that it shares only; components that a
+    link joins are one from then on, so a group yields fewer links than it has
+    components.
+    """
     least = slots * percent / 100 - SLACK * (slots * percent / 100 * (1 - percent / 100)) ** 0.5
 
     def within(rows):
-        sides = [r[3] for r in rows]
+        own = np.array([r[3] for r in rows], np.int64)
         sizes = np.array([r[6] for r in rows], np.int64)
-        comps = np.unique([r[5] for r in rows], return_inverse=True)[1] if rows else np.empty(0, int)
-        signs = np.frombuffer(b"".join(r[7] for r in rows), np.uint16).reshape(len(rows), -1)
-        crossing, side = rows[0][1] != rows[0][2], np.array(sides)
+        names, comps = np.unique([r[5].hex() for r in rows], return_inverse=True)
+        keys = np.array([r[8] for r in rows], np.int64)
+        signs = np.frombuffer(b"".join(r[9] for r in rows), np.uint16).reshape(len(rows), -1)
+        band, crossing = rows[0][7], rows[0][1] != rows[0][2]
+        sets: dict[int, np.ndarray] = {}
+        of = lambda i: sets[i] if i in sets else sets.setdefault(i, np.frombuffer(rows[i][10], np.uint64))
         for p in range(len(rows) - 1):
-            q = slice(p + 1, None)
-            fit = (comps[q] != comps[p]) & (100 * np.minimum(sizes[q], sizes[p]) >= percent * np.maximum(sizes[q], sizes[p]))
+            fit = (comps != comps[p]) & (100 * np.minimum(sizes, sizes[p]) >= percent * np.maximum(sizes, sizes[p]))
+            fit[: p + 1] = False
             if crossing:
-                fit &= side[q] != side[p]
-            for k in np.flatnonzero(fit):
-                if (signs[p + 1 + k] == signs[p]).sum() >= least:
-                    yield rows[p], rows[p + 1 + k]
-
-    def pair(batches):
+                fit &= own != own[p]
+            q = np.flatnonzero(fit)
+            if band:
+                q = q[~(keys[q, :band] == keys[p, :band]).any(1)]
+            q = q[(signs[q] == signs[p]).sum(1) >= least]
+            for k in q:
+                if comps[k] != comps[p] and similar(of(p), of(k), percent):
+                    yield rows[p][5], rows[k][5]
+                    comps[comps == comps[k]] = comps[p]
+
+    def link(batches):
         group, rows = None, []
         for batch in batches:
             out = []
-            for row in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
+            for row in zip(*(batch.column(i).to_pylist() for i in range(11)), strict=True):
                 if row[:3] != group:
                     out += within(rows) if len(rows) > 1 else []
                     group, rows = row[:3], []
                 rows.append(row)
-            yield _pairs(out)
-        yield _pairs(within(rows) if len(rows) > 1 else [])
+            yield _links(out)
+        yield _links(within(rows) if len(rows) > 1 else [])
 
-    return pair
+    return link
 
 
-def _pairs(found) -> pa.RecordBatch:
-    found = [sorted(((p[4], p[5]), (q[4], q[5]))) for p, q in found]
-    return pa.RecordBatch.from_arrays([pa.array([f[i][k] for f in found], pa.binary()) for i in (0, 1) for k in (0, 1)], names=["a", "comp_a", "b", "comp_b"])
+def _links(found) -> pa.RecordBatch:
+    found = list(found)
+    return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.binary()) for i in (0, 1)], names=["a", "b"])
+
+
+def _blocks(found: DataFrame) -> DataFrame:
+    """Members of buckets that hold several components, one row for each group of two blocks to compare.
+
+    A component with more than BLOCK members of a bucket has blocks of its own,
+    which are never compared with each other; the others share blocks.
+    """
+    parts = found.groupBy("key", "comp").agg(F.count("*").alias("c")).withColumn("own_blocks", F.when(F.col("c") > BLOCK, F.ceil(F.col("c") / BLOCK)).otherwise(0))
+    keys = parts.groupBy("key").agg(F.count("*").alias("comps"), F.sum("c").alias("size"), F.sum(F.when(F.col("own_blocks") == 0, F.col("c")).otherwise(0)).alias("small")).where("comps > 1 and size > 2")
+    keys = keys.select("key", F.ceil(F.col("small") / BLOCK).alias("shared"))
+    large = parts.where("own_blocks > 0").join(keys, "key").select("key", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("own_blocks") - 1), lambda i: F.struct(F.xxhash64("comp", i).alias("id"), F.col("comp").alias("comp")))).alias("block"))
+    mixed = keys.where("shared > 0").select("key", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("shared") - 1), lambda i: F.struct(i.alias("id"), F.lit(None).cast("binary").alias("comp")))).alias("block"))
+    all_blocks = large.unionByName(mixed).groupBy("key").agg(F.collect_list("block").alias("blocks"))
+    rows = found.join(keys, "key").join(parts.select("key", "comp", "own_blocks"), ["key", "comp"]).join(all_blocks, "key")
+    own = F.when(F.col("own_blocks") > 0, F.xxhash64("comp", F.pmod(F.xxhash64("node"), F.col("own_blocks")))).otherwise(F.pmod(F.xxhash64("comp"), F.col("shared")))
+    others = F.filter("blocks", lambda b: b["comp"].isNull() | (b["comp"] != F.col("comp")))
+    rows = rows.withColumn("own", own).withColumn("b", F.explode(others))
+    return rows.select("key", F.least("own", F.col("b.id")).alias("i"), F.greatest("own", F.col("b.id")).alias("j"), "own", "node", "comp", "n", "band")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, slots: int = SLOTS, bands: int = BANDS) -> DataFrame:
@@ -215,28 +250,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         signed.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.first("sign").alias("sign")), "classes"
     )
 
-    keyed = classes.select("node", "rep", "n", F.explode("keys").alias("key"))
+    keyed = classes.select("node", "rep", "n", F.posexplode("keys").alias("band", "key"))
     buckets = keyed.groupBy("key").agg(F.count("*").alias("members"), F.min("node").alias("centre")).where("members > 1")
     members, m_path = materialize(keyed.join(buckets, "key"), "members")
     needed = members.groupBy("node").agg(F.first("rep").alias("doc_id"))
-    texts, t_path = materialize(needed.join(source, "doc_id").select("node", "text").mapInArrow(_keep_class(width), "node binary, text string").dropDuplicates(["node"]), "texts")
+    sets, t_path = materialize(needed.join(source, "doc_id").select("node", "text").mapInArrow(_sets(width), "node binary, set binary").dropDuplicates(["node"]), "sets")
 
     sizes = members.groupBy("node").agg(F.first("n").alias("n"))
     star = members.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b"), "n").distinct()
     star = star.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("n_a")), "a").where(f"100 * least(n, n_a) >= {percent} * greatest(n, n_a)")
-    links, l_path = materialize(_verified(star.select("a", "b"), texts, width, percent), "links")
+    links, l_path = materialize(_verified(star.select("a", "b"), sets, percent), "links")
     first, f_path = connected_components(links)
 
-    # Second round: what the stars left in several components of one bucket.
-    found = members.join(first, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    open_keys = found.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.first("members").alias("size")).where("low < high and size > 2").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    rest = found.where("node <> centre").join(open_keys, "key").join(classes.select("node", "sign"), "node")
-    rest = rest.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = rest.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp", "n", "sign")
-    rest = rest.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    pairs, p_path = materialize(rest.mapInArrow(_pair_up(percent, slots), "a binary, comp_a binary, b binary, comp_b binary").distinct(), "pairs")
-    late = _verified(pairs.select("a", "b").distinct(), texts, width, percent).join(pairs, ["a", "b"]).select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")).distinct()
-    late, late_path = materialize(late, "late")
+    # Second round: what the stars left in several components of one bucket.  Pairs with the centre have been tested.
+    found = members.join(first, "node", "left").select("key", "band", "node", "n", F.coalesce("comp", "node").alias("comp"), (F.col("node") == F.col("centre")).alias("is_centre"))
+    rest = _blocks(found.where("not is_centre"))
+    rest = rest.join(classes.select("node", "keys", "sign"), "node").join(sets, "node")
+    rest = rest.select("key", "i", "j", "own", "node", "comp", "n", "band", "keys", "sign", "set").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    late, late_path = materialize(rest.mapInArrow(_linker(percent, slots), "a binary, b binary").distinct(), "late")
     second, s_path = connected_components(late)
 
     groups = first.join(second.select(F.col("node").alias("comp"), F.col("comp").alias("root")), "comp", "left").select("node", F.coalesce("root", "comp").alias("comp"))
@@ -245,7 +276,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = classes.select("node", "rep").join(groups, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     smallest = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     names, _ = materialize(named.join(smallest, "comp").select("node", "component_id"), "names")
-    release(spark, m_path, t_path, l_path, f_path, p_path, late_path, s_path)
+    release(spark, m_path, t_path, l_path, f_path, late_path, s_path)
 
     out = signed.select("doc_id", "n_shingles", "node").join(names, "node", "left")
     component = F.coalesce("component_id", "doc_id")
