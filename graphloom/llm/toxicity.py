@@ -23,6 +23,8 @@ from .common import CACHE_WORDS, small_batches
 SENTENCE = re.compile(r"[^.!?\n]+")
 #: Letters at a word's start that are features besides the word.
 STARTS = (4, 5, 6)
+#: Hash cells in which features are counted before the telling ones are kept by name.
+CELLS = 1 << 22
 
 
 def features(chunk: str) -> list[str]:
@@ -78,25 +80,39 @@ def fit(texts: list[str], labels: list[int], least_gain: float = 16.0, epochs: i
     y = np.array(labels, float)
     if not len(y) or y.min() == y.max():
         return ToxicModel({}, 3.0 if len(y) and y.min() == 1 else -8.0)
-    bags = [[{f for c in set(t[a:b].lower().split()) for f in features(c)} for a, b in sentences(t)] for t in texts]
-    seen = [Counter(), Counter()]
-    for bag, label in zip(bags, labels, strict=True):
-        seen[label].update(set().union(*bag))
     totals = np.array([len(y) - y.sum(), y.sum()])
 
-    def gain(f: str) -> float:
-        with np.errstate(divide="ignore", invalid="ignore"):
-            n = np.array([seen[0][f], seen[1][f]], float)
-            table = np.stack([n, totals - n])
-            expected = table.sum(1, keepdims=True) * totals / totals.sum()
-            return 2 * np.nansum(table * np.log(table / expected))
-
-    names = sorted(f for f in seen[0] | seen[1] if seen[0][f] + seen[1][f] >= 3 and gain(f) >= least_gain)
+    def gain(n: np.ndarray) -> np.ndarray:
+        """Likelihood ratio of counts per label (2 x features) against equal rates."""
+        out = np.zeros(n.shape[1])
+        for cells in (n, totals[:, None] - n):
+            expected = cells.sum(0) * totals[:, None] / totals.sum()
+            with np.errstate(divide="ignore", invalid="ignore"):
+                out += 2 * np.nan_to_num(cells * np.log(cells / expected)).sum(0)
+        return out
+
+    def of_document(text: str) -> set[str]:
+        return {f for c in set(text.lower().split()) for f in features(c)}
+
+    # First by hash cells, in arrays of fixed size; then the features of telling cells by name.
+    cells = np.zeros((2, CELLS))
+    for text, label in zip(texts, labels, strict=True):
+        hit = np.fromiter((zlib.crc32(f.encode()) % CELLS for f in of_document(text)), np.int64)
+        cells[label, np.unique(hit)] += 1
+    open_ = (cells.sum(0) >= 3) & (gain(cells) >= least_gain / 2)
+    seen = [Counter(), Counter()]
+    for text, label in zip(texts, labels, strict=True):
+        seen[label].update(f for f in of_document(text) if open_[zlib.crc32(f.encode()) % CELLS])
+    del cells
+    names = sorted(seen[0] | seen[1])
+    counts = np.array([[s[f] for f in names] for s in seen], float).reshape(2, -1)
+    good = (counts.sum(0) >= 3) & (gain(counts) >= least_gain)
+    names = [f for f, g in zip(names, good, strict=True) if g]
     ids = {f: i for i, f in enumerate(names)}
     doc_of, cell_s, cell_f = [], [], []
-    for d, bag in enumerate(bags):
-        for s in bag:
-            hit = [ids[f] for f in s if f in ids]
+    for d, text in enumerate(texts):
+        for start, end in sentences(text):
+            hit = [ids[f] for f in {f for c in set(text[start:end].lower().split()) for f in features(c)} if f in ids]
             cell_s += [len(doc_of)] * len(hit)
             cell_f += hit
             doc_of.append(d)
