@@ -14,7 +14,9 @@ from __future__ import annotations
 
 import heapq
 import os
+import re
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +29,8 @@ CAPACITY = 1024
 #: Pieces in a buffer, and the longest piece there: shorter pieces balance better, at the price of more cuts.
 BUFFER = 256
 LONGEST = 256
+#: A single blank between two other characters.
+_CUT = re.compile(r" (?=\S)(?<=\S )")
 
 
 def differencing(sizes: list[int], k: int) -> list[list[int]]:
@@ -69,7 +73,7 @@ class Tokens:
 
     The tokenizer cuts before every single blank between two other characters,
     so pieces between such blanks can be looked up one by one.  Pieces not yet
-    known go to the tokenizer in one batch.
+    known go to the tokenizer joined to longer texts.
     """
 
     def __init__(self, path: str):
@@ -78,18 +82,26 @@ class Tokens:
 
         self.model = Tokenizer.from_file(path)
         self.known: dict[str, tuple[int, ...]] = {}
+        # Every character of a token's name is one byte of text.
+        self.width = np.array([len(self.model.id_to_token(i) or "") for i in range(self.model.get_vocab_size())])
 
     @staticmethod
     def pieces(text: str) -> list[str]:
-        parts = text.split(" ")
-        out = [parts[0]]
-        for part in parts[1:]:
-            last = out[-1]
-            if part and last and last != " " and not part[0].isspace() and not last[-1].isspace():
-                out.append(" " + part)
-            else:
-                out[-1] = last + " " + part
-        return out
+        parts = _CUT.split(text)
+        return [parts[0], *[" " + p for p in parts[1:]]]
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Ids of pieces from one text of all of them: the tokenizer cuts before each, and token widths tell where."""
+        ids = self.model.encode_batch_fast(["".join(pieces)], add_special_tokens=False)[0].ids
+        ends = np.cumsum(self.width[ids])
+        edges = np.cumsum([len(p.encode("utf-8")) for p in pieces])
+        stops = np.searchsorted(ends, edges) + 1
+        if ends[-1] != edges[-1] or (ends[stops - 1] != edges).any():
+            return  # not as expected: the pieces are tokenised one by one
+        start = 0
+        for piece, stop in zip(pieces, stops.tolist(), strict=True):
+            self.known[piece] = tuple(ids[start:stop])
+            start = stop
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         cut = [self.pieces(t) if t else [] for t in texts]
@@ -97,14 +109,15 @@ class Tokens:
             self.known.clear()
         known = self.known
         new = list({p for c in cut for p in c if p not in known})
-        for piece, ids in zip(new, self.model.encode_batch_fast(new, add_special_tokens=False), strict=True):
+        plain = [p for p in new if p[0] == " " and len(p) > 1 and not p[1].isspace() and not p[-1].isspace() and "<|" not in p]
+        for at in range(0, len(plain), 512):
+            self._learn(plain[at : at + 512])
+        rest = [p for p in new if p not in known]
+        for piece, ids in zip(rest, self.model.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             known[piece] = tuple(ids.ids)
         out = []
         for c in cut:
-            ids: list[int] = []
-            for p in c:
-                ids += known[p]
-            out.append(np.array(ids, "<u4"))
+            out.append(np.fromiter(chain.from_iterable(map(known.__getitem__, c)), "<u4"))
         return out
 
 
