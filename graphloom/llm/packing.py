@@ -13,6 +13,7 @@ One pass over the input without a shuffle; a buffer is the only state.
 from __future__ import annotations
 
 import heapq
+import json
 import os
 import re
 import zlib
@@ -29,6 +30,8 @@ CAPACITY = 1024
 #: Pieces in a buffer, and the longest piece there: shorter pieces balance better, at the price of more cuts.
 BUFFER = 256
 LONGEST = 256
+# Fixed value: how a byte-level tokenizer cuts text before merging.
+PIECE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A single blank between two other characters.
 _CUT = re.compile(r" (?=\S)(?<=\S )")
 
@@ -73,7 +76,7 @@ class Tokens:
 
     The tokenizer cuts before every single blank between two other characters,
     so pieces between such blanks can be looked up one by one.  Pieces not yet
-    known go to the tokenizer joined to longer texts.
+    known go to the tokenizer, or to a faster form of the same vocabulary.
     """
 
     def __init__(self, path: str):
@@ -82,26 +85,44 @@ class Tokens:
 
         self.model = Tokenizer.from_file(path)
         self.known: dict[str, tuple[int, ...]] = {}
-        # Every character of a token's name is one byte of text.
-        self.width = np.array([len(self.model.id_to_token(i) or "") for i in range(self.model.get_vocab_size())])
+        self.ranks = self._ranks(path)
+
+    @staticmethod
+    def _ranks(path: str):
+        """The same vocabulary as merge ranks, if the file is a byte-level BPE whose ids are in merge order; else None.
+
+        Lookups of single pieces are several times faster there.  Pieces that
+        might hold a special token stay with the tokenizer, and the first ones of
+        every batch are encoded by both: at a difference the ranks are dropped.
+        """
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        if spec["model"].get("type") != "BPE" or (spec.get("pre_tokenizer") or {}).get("type") != "ByteLevel" or spec.get("normalizer"):
+            return None
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        named = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in printable)}
+        special = {t["content"] for t in spec.get("added_tokens", [])}
+        ranks = {bytes(named[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
+        import tiktoken
+
+        return tiktoken.Encoding("pieces", pat_str=PIECE_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     @staticmethod
     def pieces(text: str) -> list[str]:
         parts = _CUT.split(text)
         return [parts[0], *[" " + p for p in parts[1:]]]
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Ids of pieces from one text of all of them: the tokenizer cuts before each, and token widths tell where."""
-        ids = self.model.encode_batch_fast(["".join(pieces)], add_special_tokens=False)[0].ids
-        ends = np.cumsum(self.width[ids])
-        edges = np.cumsum([len(p.encode("utf-8")) for p in pieces])
-        stops = np.searchsorted(ends, edges) + 1
-        if ends[-1] != edges[-1] or (ends[stops - 1] != edges).any():
-            return  # not as expected: the pieces are tokenised one by one
-        start = 0
-        for piece, stop in zip(pieces, stops.tolist(), strict=True):
-            self.known[piece] = tuple(ids[start:stop])
-            start = stop
+    def _learn(self, new: list[str]) -> None:
+        plain = [p for p in new if "<" not in p] if self.ranks else []
+        for piece, ids in zip(plain[:16], self.model.encode_batch_fast(plain[:16], add_special_tokens=False), strict=True):
+            if self.ranks.encode_ordinary(piece) != ids.ids:
+                self.ranks, plain = None, []
+                break
+        for piece in plain:
+            self.known[piece] = tuple(self.ranks.encode_ordinary(piece))
+        rest = [p for p in new if p not in self.known]
+        for piece, ids in zip(rest, self.model.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            self.known[piece] = tuple(ids.ids)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         cut = [self.pieces(t) if t else [] for t in texts]
@@ -109,12 +130,7 @@ class Tokens:
             self.known.clear()
         known = self.known
         new = list({p for c in cut for p in c if p not in known})
-        plain = [p for p in new if p[0] == " " and len(p) > 1 and not p[1].isspace() and not p[-1].isspace() and "<|" not in p]
-        for at in range(0, len(plain), 512):
-            self._learn(plain[at : at + 512])
-        rest = [p for p in new if p not in known]
-        for piece, ids in zip(rest, self.model.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            known[piece] = tuple(ids.ids)
+        self._learn(new)
         out = []
         for c in cut:
             out.append(np.fromiter(chain.from_iterable(map(known.__getitem__, c)), "<u4"))
