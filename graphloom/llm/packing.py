@@ -24,12 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_WORDS, partition_id, small_batches
+from .common import partition_id, small_batches
 
 CAPACITY = 1024
 #: Pieces in a buffer, and the longest piece there: shorter pieces balance better, at the price of more cuts.
 BUFFER = 256
 LONGEST = 256
+#: Pieces of text whose ids a worker remembers.
+CACHE_PIECES = 1_000_000
 # Fixed value: how a byte-level tokenizer cuts text before merging.
 PIECE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A single blank between two other characters.
@@ -126,7 +128,7 @@ class Tokens:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         cut = [self.pieces(t) if t else [] for t in texts]
-        if len(self.known) > CACHE_WORDS:
+        if len(self.known) > CACHE_PIECES:
             self.known.clear()
         known = self.known
         new = list({p for c in cut for p in c if p not in known})
