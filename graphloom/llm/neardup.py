@@ -222,7 +222,7 @@ def _blocks(found: DataFrame) -> DataFrame:
     which are never compared with each other; the others share blocks.
     """
     parts = found.groupBy("key", "comp").agg(F.count("*").alias("c")).withColumn("own_blocks", F.when(F.col("c") > BLOCK, F.ceil(F.col("c") / BLOCK)).otherwise(0))
-    keys = parts.groupBy("key").agg(F.count("*").alias("comps"), F.sum("c").alias("size"), F.sum(F.when(F.col("own_blocks") == 0, F.col("c")).otherwise(0)).alias("small")).where("comps > 1 and size > 2")
+    keys = parts.groupBy("key").agg(F.count("*").alias("comps"), F.sum("c").alias("size"), F.sum(F.when(F.col("own_blocks") == 0, F.col("c")).otherwise(0)).alias("small")).where("comps > 1")
     keys = keys.select("key", F.ceil(F.col("small") / BLOCK).alias("shared"))
     large = parts.where("own_blocks > 0").join(keys, "key").select("key", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("own_blocks") - 1), lambda i: F.struct(F.xxhash64("comp", i).alias("id"), F.col("comp").alias("comp")))).alias("block"))
     mixed = keys.where("shared > 0").select("key", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("shared") - 1), lambda i: F.struct(i.alias("id"), F.lit(None).cast("binary").alias("comp")))).alias("block"))

@@ -68,6 +68,20 @@ def test_second_round_links_what_stars_miss(spark, monkeypatch):
     assert got == want
 
 
+def test_buckets_of_three_lose_no_link(spark):
+    """Families of texts around the threshold: two that are alike often share their buckets with one unlike text only."""
+    r, docs = random.Random(5), []
+    for g in range(900):
+        base = [f"g{g}w{i}" for i in range(120)]
+        for v in range(r.choice([3, 4, 5])):
+            docs.append((len(docs), g, " ".join(base[r.randint(0, 18) :] + [f"g{g}v{v}x{i}" for i in range(r.randint(4, 24))])))
+    want = {}
+    for g in range(900):
+        want |= brute([(d, t) for d, h, t in docs if h == g], 4, 80)
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in N.near_duplicates(spark.createDataFrame([(d, t) for d, _, t in docs], "doc_id long, text string"), width=4).collect()}
+    assert got == want
+
+
 def test_nulls_repeats_and_empty(spark):
     rows = [(1, "a b c d e f", "x"), (1, "a b c d e f", "x"), (None, "a b c d e f", None), (2, None, None), (2, "p q r s t u v", "y")]
     df = spark.createDataFrame(rows, "doc_id long, text string, kept string")
