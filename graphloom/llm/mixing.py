@@ -8,7 +8,8 @@ meet their targets.
 
 A rate after s steps is a fixed fold of the document's posterior over the s
 error vectors so far.  So no rates are stored between steps: each step is one
-aggregation to K sums, with the fold written as a Spark expression.
+aggregation to K sums.  The fold is run in numpy over Arrow batches of (tokens,
+membership); the final rates use the same fold as a Spark expression.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import CACHE_WORDS, materialize, small_batches
 
+#: Rows of (tokens, membership) in a batch of the fit.
+FIT_ROWS = 10_000
 STRIP = "\"'.,;:!?()[]{}<>|*#%&$@-_/\\=+~`0123456789"
 
 
@@ -149,6 +152,28 @@ class RateFit:
 
         return F.aggregate(past, r, fold)
 
+    def rates(self, p: np.ndarray) -> np.ndarray:
+        """The same for rows of memberships."""
+        r = np.ones(len(p))
+        for e in self.errors:
+            g = p @ np.array(e)
+            r = np.clip(r - self.step * (g + self.ridge * (r - 1)), self.low, self.high)
+        return r
+
+
+def domain_sums(members: DataFrame, k: int, fit: RateFit | None = None) -> list[float]:
+    """Tokens per domain of (tokens, membership), each row times its rate: one sum per batch, then added up."""
+
+    def run(batches):
+        for batch in batches:
+            tokens = batch.column(0).to_numpy(zero_copy_only=False).astype(float)
+            p = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(tokens), k)
+            held = (tokens * fit.rates(p) if fit else tokens) @ p
+            yield pa.RecordBatch.from_arrays([pa.array([held.tolist()], pa.list_(pa.float64()))], names=["held"])
+
+    rows = members.where("tokens > 0").select("tokens", "membership").mapInArrow(run, "held array<double>")
+    return [float(x or 0) for x in rows.agg(*[F.sum(F.col("held")[i]) for i in range(k)]).first()] if k else []
+
 
 def fit_rates(members: DataFrame, weights: list[float] | None, low: float = 0.0, high: float = 4.0, temper: float | None = None, budget: float = 1.0, ridge: float = 1e-3, steps: int = 40, within: float = 1e-4) -> RateFit:
     """Rates in [low, high] for (tokens, membership) so that domain tokens meet their targets.
@@ -159,8 +184,8 @@ def fit_rates(members: DataFrame, weights: list[float] | None, low: float = 0.0,
     a small ridge towards rate 1.  Domains without tokens are left out.
     """
     k = len(weights) if weights is not None else len((members.select("membership").first() or [[]])[0] or [])
-    sums = lambda rate: [float(x or 0) for x in members.agg(*[F.sum(rate * F.col("tokens") * F.col("membership")[i]).alias(f"s{i}") for i in range(k)]).first()] if k else []
-    now = sums(F.lit(1.0))
+    small_batches(members.sparkSession, FIT_ROWS)
+    now = domain_sums(members, k)
     total = sum(now)
     if not total:
         return RateFit([], 0.0, ridge, low, high, now, now)
@@ -177,7 +202,7 @@ def fit_rates(members: DataFrame, weights: list[float] | None, low: float = 0.0,
         if np.abs(e).max() < within or fit.errors and np.abs(e - fit.errors[-1]).max() < within / 100:
             break
         fit.errors.append([round(float(x), 12) for x in e])
-        now = sums(fit.rate())
+        now = domain_sums(members, k, fit)
     fit.totals = now
     return fit
 
