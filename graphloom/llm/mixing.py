@@ -19,13 +19,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import CACHE_WORDS, materialize, small_batches
 
 #: Rows of (tokens, membership) in a batch of the fit.
 FIT_ROWS = 10_000
+#: Windows that a domain's labelled rows are dealt over before the last choice.
+SALTS = 32
 STRIP = "\"'.,;:!?()[]{}<>|*#%&$@-_/\\=+~`0123456789"
 
 
@@ -36,21 +38,29 @@ def trigrams(word: str) -> list[str]:
 
 @dataclass
 class DomainModel:
-    """log-likelihoods of known words and of letter trigrams per domain."""
+    """log-likelihoods per domain: rows of known words, then of letter trigrams, then one of zeros."""
 
     domains: list[str]
-    words: dict[str, np.ndarray]
-    grams: dict[str, np.ndarray]
-
-    def posterior(self, chunk: str) -> np.ndarray:
-        k = len(self.domains)
-        word = chunk.strip(STRIP)
-        z = self.words.get(word)
-        if z is None:
-            rows = [self.grams[g] for g in trigrams(word) if g in self.grams] if word else []
-            z = np.sum(rows, 0) if rows else np.zeros(k)
-        p = np.exp(z - z.max())
-        return p / p.sum()
+    words: dict[str, int]
+    grams: dict[str, int]
+    rows: np.ndarray
+
+    def posteriors(self, chunks: list[str]) -> np.ndarray:
+        """One row per chunk: of the word if known, else of its trigrams, else equal shares."""
+        hits, starts, nothing = [], [], len(self.rows) - 1
+        words, grams = self.words, self.grams
+        for chunk in chunks:
+            starts.append(len(hits))
+            word = chunk.strip(STRIP)
+            if word in words:
+                hits.append(words[word])
+            else:
+                hits += [grams[g] for g in trigrams(word) if g in grams] if word else ()
+                if len(hits) == starts[-1]:
+                    hits.append(nothing)
+        z = np.add.reduceat(self.rows[hits], starts, axis=0)
+        p = np.exp(z - z.max(1, keepdims=True))
+        return p / p.sum(1, keepdims=True)
 
     def members(self):
         """text -> (tokens, posterior); no words: 0 tokens, equal shares."""
@@ -60,16 +70,16 @@ class DomainModel:
         def of(text: str | None):
             nonlocal table
             words = (text or "").lower().split()
-            if not words:
-                return 0, np.full(len(self.domains), 1 / max(1, len(self.domains)))
+            if not words or not self.domains:
+                return len(words), np.full(len(self.domains), 1 / max(1, len(self.domains)))
             if len(known) > CACHE_WORDS:
                 known.clear()
-            for w in words:
-                if w not in known:
-                    if len(known) == len(table):
-                        table = np.vstack([table, np.zeros_like(table)])
-                    table[len(known)] = self.posterior(w)
-                    known[w] = len(known)
+            new = [w for w in dict.fromkeys(words) if w not in known]
+            if new:
+                while len(known) + len(new) > len(table):
+                    table = np.vstack([table, np.zeros_like(table)])
+                table[len(known) : len(known) + len(new)] = self.posteriors(new)
+                known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
             p = table[np.fromiter(map(known.__getitem__, words), np.int64, len(words))].sum(0)
             return len(words), np.round(p / p.sum(), 6)
 
@@ -94,21 +104,32 @@ def fit_domains(texts: list[str], domains: list[str], most_words: int = 50_000)
         for d in names:
             keys.update(counts[d])
         kept = [x for x, n in sorted(keys.items(), key=lambda i: (-i[1], i[0])) if n >= least][:most]
-        return {x: np.array([np.log((counts[d][x] + 0.5) / total[d]) for d in names]) for x in kept}
+        return {x: [np.log((counts[d][x] + 0.5) / total[d]) for d in names] for x in kept}
 
-    return DomainModel(names, rows(seen, 3, most_words), rows(grams, 1, most_words))
+    words, parts = rows(seen, 3, most_words), rows(grams, 1, most_words)
+    table = np.array([*words.values(), *parts.values(), [0.0] * len(names)]).reshape(len(words) + len(parts) + 1, len(names))
+    return DomainModel(names, {w: i for i, w in enumerate(words)}, {g: len(words) + i for i, g in enumerate(parts)}, table)
 
 
 def train_domains(labelled: DataFrame, rows_per_domain: int = 300, longest: int = 100_000) -> DomainModel:
     """Fit on (doc_id, text, domain): the first ``rows_per_domain`` by a hash of the id, texts up to ``longest``.
 
-    Both are documented bounds of the classifier's sample only.  Null domains
-    and texts teach nothing.
+    Both are documented bounds of the classifier's sample only.  Null domains,
+    ids and texts teach nothing.  One scan picks the ids, a second fetches their
+    texts; salted windows keep a domain's rows apart until few are left.
     """
-    rows = labelled.where(F.col("text").isNotNull() & F.col("domain").isNotNull() & (F.length("text") <= longest))
-    names = sorted(r[0] for r in rows.select("domain").distinct().limit(1000).collect())
-    picked = [r for d in names for r in rows.where(F.col("domain") == d).select("doc_id", "text", "domain").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows_per_domain).collect()]
-    return fit_domains([r["text"] for r in picked], [r["domain"] for r in picked])
+    spark = labelled.sparkSession
+    rows = labelled.where(F.col("text").isNotNull() & F.col("domain").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") <= longest))
+    ids = rows.select("doc_id", "domain", F.xxhash64("doc_id").alias("h"))
+    for keys in (["domain", F.pmod(F.col("h"), F.lit(SALTS))], ["domain"]):
+        ids = ids.withColumn("rn", F.row_number().over(Window.partitionBy(*keys).orderBy("h", "doc_id"))).where(F.col("rn") <= rows_per_domain).drop("rn")
+    picked = [(r["doc_id"], r["domain"]) for r in ids.select("doc_id", "domain").distinct().collect()]
+    if not picked:
+        return fit_domains([], [])
+    bounded = spark.createDataFrame(picked, rows.select(F.col("doc_id").alias("__id"), F.col("domain").alias("__domain")).schema)
+    same = (F.col("doc_id") == F.col("__id")) & (F.col("domain") == F.col("__domain"))
+    found = rows.join(F.broadcast(bounded), same, "left_semi").select("doc_id", "text", "domain").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(4 * len(picked)).collect()
+    return fit_domains([r["text"] for r in found], [r["domain"] for r in found])
 
 
 def with_membership(docs: DataFrame, model: DomainModel) -> DataFrame:
