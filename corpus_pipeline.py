@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import mixing, neardup, packing, pii, toxicity
 from graphloom.llm.common import materialize, table
-from graphloom.llm.queries import TOKENIZER, labelled_domains
+from graphloom.llm.queries import TOKENIZER, train_languages
 
 #: Languages get their share of tokens to this power, by repeating documents up to MOST times.
 TEMPER, MOST = 0.7, 4.0
@@ -39,7 +39,7 @@ def redact_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rates of 1 to MOST, so no clean document goes; a document with copies n has n rows."""
-    model = mixing.train_domains(labelled_domains(spark, docs, sf_dir))
+    model = train_languages(spark, docs, sf_dir)
     mixed, _ = mixing.mix(docs, model, temper=TEMPER, low=1.0, high=MOST)
     return mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.greatest("copies", F.lit(1))))).select(*[F.col(f"`{c}`") for c in docs.columns])
 

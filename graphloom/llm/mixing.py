@@ -111,24 +111,29 @@ def fit_domains(texts: list[str], domains: list[str], most_words: int = 50_000)
     return DomainModel(names, {w: i for i, w in enumerate(words)}, {g: len(words) + i for i, g in enumerate(parts)}, table)
 
 
-def train_domains(labelled: DataFrame, rows_per_domain: int = 300, longest: int = 100_000) -> DomainModel:
-    """Fit on (doc_id, text, domain): the first ``rows_per_domain`` by a hash of the id, texts up to ``longest``.
+def train_domains(docs: DataFrame, ids: DataFrame | None = None, rows_per_domain: int = 300, longest: int = 100_000) -> DomainModel:
+    """Fit on (doc_id, text, domain) of the ids in ``ids`` (default: all): the first ``rows_per_domain`` by a hash of the id, texts up to ``longest``.
 
     Both are documented bounds of the classifier's sample only.  Null domains,
     ids and texts teach nothing.  One scan picks the ids, a second fetches their
-    texts; salted windows keep a domain's rows apart until few are left.
+    texts by a broadcast of at most ``rows_per_domain`` ids per domain, so no
+    text is shuffled before that; salted windows keep a domain's rows apart
+    until few are left.
     """
-    spark = labelled.sparkSession
-    rows = labelled.where(F.col("text").isNotNull() & F.col("domain").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") <= longest))
-    ids = rows.select("doc_id", "domain", F.xxhash64("doc_id").alias("h"))
+    spark = docs.sparkSession
+    docs = docs.select("doc_id", "text", "domain").where(F.col("text").isNotNull() & F.col("domain").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") <= longest))
+    rows = docs.select("doc_id", "domain")
+    if ids is not None:
+        rows = rows.join(ids.select("doc_id"), "doc_id", "left_semi")
+    rows = rows.withColumn("h", F.xxhash64("doc_id"))
     for keys in (["domain", F.pmod(F.col("h"), F.lit(SALTS))], ["domain"]):
-        ids = ids.withColumn("rn", F.row_number().over(Window.partitionBy(*keys).orderBy("h", "doc_id"))).where(F.col("rn") <= rows_per_domain).drop("rn")
-    picked = [(r["doc_id"], r["domain"]) for r in ids.select("doc_id", "domain").distinct().collect()]
+        rows = rows.withColumn("rn", F.row_number().over(Window.partitionBy(*keys).orderBy("h", "doc_id"))).where(F.col("rn") <= rows_per_domain).drop("rn")
+    picked = [(r["doc_id"], r["domain"]) for r in rows.select("doc_id", "domain").distinct().collect()]
     if not picked:
         return fit_domains([], [])
-    bounded = spark.createDataFrame(picked, rows.select(F.col("doc_id").alias("__id"), F.col("domain").alias("__domain")).schema)
+    bounded = spark.createDataFrame(picked, docs.select(F.col("doc_id").alias("__id"), F.col("domain").alias("__domain")).schema)
     same = (F.col("doc_id") == F.col("__id")) & (F.col("domain") == F.col("__domain"))
-    found = rows.join(F.broadcast(bounded), same, "left_semi").select("doc_id", "text", "domain").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(4 * len(picked)).collect()
+    found = docs.join(F.broadcast(bounded), same, "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(4 * len(picked)).collect()
     return fit_domains([r["text"] for r in found], [r["domain"] for r in found])
 
 

@@ -83,15 +83,14 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted", F.size("offending").alias("n_offending"))
 
 
-def labelled_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def train_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> mixing.DomainModel:
     """The labelled table of domains: the language of documents that labels covers."""
-    ids = table(spark, sf_dir, "labels").select("doc_id").distinct()
-    return docs.join(ids, "doc_id", "left_semi").select("doc_id", "text", F.col("lang").alias("domain"))
+    return mixing.train_domains(docs.select("doc_id", "text", F.col("lang").alias("domain")), table(spark, sf_dir, "labels").select("doc_id").distinct())
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = mixing.train_domains(labelled_domains(spark, docs, sf_dir))
+    model = train_languages(spark, docs, sf_dir)
     mixed, _ = mixing.mix(docs.select("doc_id", "text"), model, MIX_WEIGHTS, keep=["doc_id"])
     shares = [F.col("membership")[i].alias(f"p_{d}") for i, d in enumerate(model.domains)]
     return mixed.select("doc_id", "tokens", *shares, F.round("rate", 6).alias("rate"), "copies")
