@@ -17,7 +17,6 @@ import json
 import os
 import re
 import zlib
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +29,11 @@ CAPACITY = 1024
 #: Pieces in a buffer, and the longest piece there: shorter pieces balance better, at the price of more cuts.
 BUFFER = 256
 LONGEST = 256
-#: Pieces of text whose ids a worker remembers.
-CACHE_PIECES = 1_000_000
+#: Texts of each batch that are encoded twice, and their longest; a word or blank run this long is left to the tokenizer.
+PROBES, PROBE_CHARS, LONG_RUN = 4, 4000, 5000
 # Fixed value: how a byte-level tokenizer cuts text before merging.
 PIECE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: A single blank between two other characters.
-_CUT = re.compile(r" (?=\S)(?<=\S )")
+_LONG = re.compile(rf"(?<!\S)\S{{{LONG_RUN}}}|(?<!\s)\s{{{LONG_RUN}}}")
 
 
 def differencing(sizes: list[int], k: int) -> list[list[int]]:
@@ -74,11 +72,12 @@ def balance(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
 
 
 class Tokens:
-    """text -> token ids, remembering blank-delimited pieces.
+    """text -> token ids.
 
-    The tokenizer cuts before every single blank between two other characters,
-    so pieces between such blanks can be looked up one by one.  Pieces not yet
-    known go to the tokenizer, or to a faster form of the same vocabulary.
+    Texts go to a faster form of the tokenizer's vocabulary where there is one;
+    those that might hold a special token or have a very long word or blank run
+    go to the tokenizer itself.  Some texts of each batch are encoded by both:
+    at a difference the faster form is dropped.
     """
 
     def __init__(self, path: str):
@@ -86,57 +85,36 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.ranks = self._ranks(path)
+        self.ranks, self.special = self._ranks(path)
 
     @staticmethod
     def _ranks(path: str):
-        """The same vocabulary as merge ranks, if the file is a byte-level BPE whose ids are in merge order; else None.
-
-        Lookups of single pieces are several times faster there.  Pieces that
-        might hold a special token stay with the tokenizer, and the first ones of
-        every batch are encoded by both: at a difference the ranks are dropped.
-        """
+        """The same vocabulary as merge ranks, and its special tokens; no ranks if the file is not a byte-level BPE whose ids are in merge order."""
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        special = {t["content"] for t in spec.get("added_tokens", [])}
         if spec["model"].get("type") != "BPE" or (spec.get("pre_tokenizer") or {}).get("type") != "ByteLevel" or spec.get("normalizer"):
-            return None
+            return None, special
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         named = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in printable)}
-        special = {t["content"] for t in spec.get("added_tokens", [])}
         ranks = {bytes(named[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
         import tiktoken
 
-        return tiktoken.Encoding("pieces", pat_str=PIECE_PATTERN, mergeable_ranks=ranks, special_tokens={})
+        return tiktoken.Encoding("pieces", pat_str=PIECE_PATTERN, mergeable_ranks=ranks, special_tokens={}), special
 
-    @staticmethod
-    def pieces(text: str) -> list[str]:
-        parts = _CUT.split(text)
-        return [parts[0], *[" " + p for p in parts[1:]]]
-
-    def _learn(self, new: list[str]) -> None:
-        plain = [p for p in new if "<" not in p] if self.ranks else []
-        for piece, ids in zip(plain[:16], self.model.encode_batch_fast(plain[:16], add_special_tokens=False), strict=True):
-            if self.ranks.encode_ordinary(piece) != ids.ids:
-                self.ranks, plain = None, []
-                break
-        for piece in plain:
-            self.known[piece] = tuple(self.ranks.encode_ordinary(piece))
-        rest = [p for p in new if p not in self.known]
-        for piece, ids in zip(rest, self.model.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            self.known[piece] = tuple(ids.ids)
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [self.pieces(t) if t else [] for t in texts]
-        if len(self.known) > CACHE_PIECES:
-            self.known.clear()
-        known = self.known
-        new = list({p for c in cut for p in c if p not in known})
-        self._learn(new)
-        out = []
-        for c in cut:
-            out.append(np.fromiter(chain.from_iterable(map(known.__getitem__, c)), "<u4"))
-        return out
+    def _plain(self, text: str) -> bool:
+        return not any(s in text for s in self.special) and (len(text) < LONG_RUN or not _LONG.search(text))
+
+    def _exact(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        texts = [t or "" for t in texts]
+        if self.ranks:
+            probe = [t for t in texts if len(t) <= PROBE_CHARS and self._plain(t)][:PROBES]
+            if any(self.ranks.encode_ordinary(t) != ids.tolist() for t, ids in zip(probe, self._exact(probe), strict=True)):
+                self.ranks = None
+        return [self.ranks.encode_to_numpy(t, disallowed_special=()).astype("<u4") if self.ranks and self._plain(t) else self._exact([t])[0] for t in texts]
 
 
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, capacity: int = CAPACITY, buffer: int = BUFFER, longest: int = LONGEST, with_ids: bool = True) -> DataFrame:
