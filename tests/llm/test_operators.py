@@ -238,6 +238,30 @@ def test_rates_match_brute_force(spark):
     assert np.abs((rate * t) @ p / target - 1).max() < 0.01 and total
 
 
+@pytest.mark.parametrize("rare", [0.02, 0.002])
+def test_rare_domain_reaches_its_target(spark, rare):
+    r = np.random.default_rng(4)
+    home = r.choice(4, 4000, p=[0.15, 0.7 - rare, rare, 0.15])
+    p = np.full((4000, 4), 0.03)
+    p[np.arange(4000), home] = 0.91
+    t = r.integers(50, 500, 4000)
+    df = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(t, p, strict=True)], "tokens long, membership array<double>")
+    weights = np.array([0.2, 0.4, 0.2, 0.2])
+    fit = mixing.fit_rates(df, weights.tolist())
+    rows = df.withColumn("rate", fit.rate()).collect()
+    held = sum(x["tokens"] * x["rate"] * np.array(x["membership"]) for x in rows)
+    assert min(x["rate"] for x in rows) >= 0 and max(x["rate"] for x in rows) > 4
+    assert np.abs(held / (weights * t.sum()) - 1).max() < 0.01 and np.abs(fit.distance()).max() < 0.01
+
+
+def test_unreachable_target_is_reported(spark):
+    model = mixing.fit_domains(["aa bb aa bb aa bb", "cc dd cc dd cc dd"], ["x", "y"])
+    docs = spark.createDataFrame([(i, "aa bb") for i in range(20)], "doc_id long, text string")
+    with pytest.warns(UserWarning, match="'y'"):
+        _, fit = mixing.mix(docs, model, {"x": 0.1, "y": 0.9})
+    assert fit.distance()[1] < -0.5
+
+
 def test_mixing_query_and_edges(spark):
     got = Q["op9_mixing"](spark, "/root/testdata/sf0.01").collect()
     held = {d: sum(x["tokens"] * x["rate"] * x[f"p_{d}"] for x in got) for d in MIX_WEIGHTS}
