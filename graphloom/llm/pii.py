@@ -280,6 +280,49 @@ def _plausible(kind: str, text: str) -> bool:
     return bool(re.fullmatch(r"[^\s@]+@[^\s@]+\.[^\s@.]+", text))
 
 
+#: Parts of a token that can be numbers of their own; what stands between two of them can end a number.
+_PART = re.compile(r"[^\s,;:!?\"'|*$%&#\[\]{}<>/]+")
+
+
+def _split(kind: str, text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Plausible spans of a run of number tokens that is no single number, outside those taken.
+
+    Of all choices of disjoint runs of parts, one that covers most digits; then
+    one with fewest commas, brackets or the like inside a span; then the most even.
+    """
+    found, last = [], 0
+    for x, y in [*sorted(taken), (len(text), len(text))]:
+        parts = []
+        for m in _PART.finditer(text, min(last, x), max(x, 0)):
+            core = m[0].rstrip(".")
+            n = sum(c in "0123456789" for c in core)
+            if n:
+                parts.append((m.start() + len(core) - len(core.lstrip(".")), m.start() + len(core), n))
+        last = max(last, y)
+        ends = [i > 0 and (text[b] in "+(" or not text[parts[i - 1][1] : b].isspace()) for i, (b, _, _) in enumerate(parts)]
+        # best[i]: score of the parts from i on, and the end of the run that starts at i (0: none)
+        best: list = [((0, 0, 0), 0)] * (len(parts) + 1)
+        for i in range(len(parts) - 1, -1, -1):
+            best[i] = (best[i + 1][0], 0)
+            digits = crossed = 0
+            for j in range(i, len(parts)):
+                digits += parts[j][2]
+                crossed += j > i and ends[j]
+                if digits > 19:
+                    break
+                if _plausible(kind, text[parts[i][0] : parts[j][1]]):
+                    rest = best[j + 1][0]
+                    score = (rest[0] + digits, rest[1] - crossed, rest[2] - digits * digits)
+                    if score > best[i][0]:
+                        best[i] = (score, j + 1)
+        i = 0
+        while i < len(parts):
+            if best[i][1]:
+                found.append((parts[i][0], parts[best[i][1] - 1][1]))
+            i = best[i][1] or i + 1
+    return found
+
+
 class Finder:
     """Spans of texts by a trained field."""
 
@@ -338,8 +381,11 @@ class Finder:
                         while start < end and line[end - 1] in ".,;:!?\"'|*$%&#[]{}<>":
                             end -= 1
                         kind, found = LABELS[path[t]], line[start:end]
-                        if _plausible(kind, found) and not any(x < at + end and at + start < y for _, x, y in taken[i]):
+                        near = [(x - at - start, y - at - start) for _, x, y in taken[i] if x < at + end and at + start < y]
+                        if _plausible(kind, found) and not near:
                             out[i].append((kind, at + start, at + end))
+                        elif kind in ("phone", "card"):
+                            out[i] += [(kind, at + start + x, at + start + y) for x, y in _split(kind, found, near)]
                 t = e
         return out
 

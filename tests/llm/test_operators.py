@@ -325,6 +325,36 @@ def test_field_decodes_held_out_sentences_and_best_paths():
         assert tuple(pii.viterbi([e, r.normal(size=(3, 5))], field.moves, field.starts)[0]) == best
 
 
+@pytest.mark.parametrize(
+    ("text", "clean"),
+    [
+        ("call (377) 555-0271 (378) 555-0272 now", "call [PHONE] [PHONE] now"),
+        ("call 377-555-0271, 377-555-0272 now", "call [PHONE], [PHONE] now"),
+        ("call 377-555-0271, 377-555-0272, 377-555-0273 or 377.555.0274 now", "call [PHONE], [PHONE], [PHONE] or [PHONE] now"),
+        ("call +1 (377) 555-0271 (378) 555-0272 now", "call [PHONE] [PHONE] now"),
+        ("call 377-555-0271 +1 377-555-0272 now", "call [PHONE] [PHONE] now"),
+        ("pay 4111.1111.1111.1111 4012-8888-8888-1881 now", "pay [CARD] [CARD] now"),
+        ("pay 4111-1111-1111-1111, 4012.8888.8888.1881 now", "pay [CARD], [CARD] now"),
+        ("pay 4111 1111 1111 1111 4012 8888 8888 1881 now", "pay [CARD] [CARD] now"),
+    ],
+)
+def test_adjacent_numbers_are_split(text, clean):
+    finder = pii.Finder(pii.fit(pii.labelled_table()))
+    base = pii.base_spans(text)
+    added = finder.added([text], [base])[0]
+    assert pii.redact(text, base + added) == clean
+    assert not any(a < y and x < b for _, a, b in added for _, x, y in base)
+
+
+def test_split_keeps_to_plausible_parts():
+    cut = lambda kind, text, taken=(): [text[a:b] for a, b in pii._split(kind, text, list(taken))]
+    assert cut("phone", "377 555 0271 378 555 0272") == ["377 555 0271", "378 555 0272"]
+    assert cut("phone", "12 377-555-0271,377-555-0272. 1234567890123456") == ["12 377-555-0271", "377-555-0272"]
+    assert cut("phone", "377-555-0271 +1 377-555-0272", [(13, 28)]) == ["377-555-0271"]
+    assert cut("card", "4111 1111 1111 1111 1234 4012 8888 8888 1881") == ["4111 1111 1111 1111", "4012 8888 8888 1881"]
+    assert sum(len(x.split()) for x in cut("phone", "1 " * 50_000)) == 50_000
+
+
 def test_pii_query(spark):
     texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     for r in Q["op10_personal_data"](spark, SF).collect():
