@@ -26,16 +26,22 @@ def kind_counts(events: DataFrame) -> DataFrame:
     return events.groupBy("kind").agg(F.count("*").alias("n"))
 
 
-def walk(docs: DataFrame, column: str = "doc", depth: int = 8) -> DataFrame:
+def walk(docs: DataFrame, column: str = "doc", depth: int | None = None) -> DataFrame:
     """[T7] Every entry of nested documents: doc columns with path, key and value (VARIANT).
 
-    One lateral explode per level, the frontier of containers feeding the next;
-    ``depth`` bounds the nesting, as the message reader does.
+    One lateral explode per level, the frontier of containers feeding the next.
+    Without ``depth`` the levels go on until the frontier is empty, which one
+    job tests after every eight; ``depth`` is for documents known to be flatter.
     """
     spark, keep = docs.sparkSession, [c for c in docs.columns if c != column]
     level = docs.select(*keep, F.lit("$").alias("path"), F.col(column).alias("value"))
-    out = None
-    for _ in range(depth):
+    out, done = None, 0
+    while done != depth:
+        if depth is None and done and done % 8 == 0:
+            level = level.where(F.schema_of_variant("value").rlike("^(OBJECT|ARRAY)")).localCheckpoint()
+            if level.isEmpty():
+                break
+        done += 1
         inner = level.where(F.schema_of_variant("value").rlike("^(OBJECT|ARRAY)")).select(*keep, F.col("path").alias("__path"), F.col("value").alias("__v"))
         grown = inner.lateralJoin(spark.tvf.variant_explode(F.col("__v").outer()))
         level = grown.select(*keep, F.concat("__path", F.when(F.col("key").isNull(), F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]"))).otherwise(F.concat(F.lit("."), F.col("key")))).alias("path"), F.col("key"), "value")
