@@ -2,8 +2,8 @@
 
 The tree is built level by level from counts of distinct paths: a segment with
 digits, or a rare one under a node with many children, becomes a wildcard.
-Sibling branches whose labelled rates do not differ significantly merge.  A
-template is rejected if its labelled purity, smoothed towards its host's and
+From the deepest level up, siblings (templates that differ in one segment)
+whose labelled rates do not differ significantly merge.  A template is rejected if its labelled purity, smoothed towards its host's and
 the whole table's, is high enough.  Only counts are shuffled per level; no
 host's rows ever meet in one task.
 """
@@ -18,8 +18,6 @@ from pyspark.sql import functions as F
 from .common import materialize, release
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Deepest level with a node of its own; what follows is one segment.
-LEVELS = 6
 #: Children from which on rare ones are variable, and the share that makes one common.
 FANOUT, COMMON = 12, 0.05
 #: Standard errors within which siblings count as similar; pseudo-count of the parent's rate; purity of a rejected template.
@@ -60,27 +58,84 @@ def apply_rules(pages: DataFrame, rules: list[Rule], host: str = "host", path: s
     return pages.withColumns({"rule": rule, "rule_verdict": verdict})
 
 
-def template_tree(paths: DataFrame, levels: int = LEVELS, fanout: int = FANOUT, common: float = COMMON) -> tuple[DataFrame, str]:
-    """Distinct (host, path, n) with its template; and where the table is."""
-    spark = paths.sparkSession
+def template_tree(paths: DataFrame, fanout: int = FANOUT, common: float = COMMON) -> tuple[DataFrame, str, int]:
+    """Distinct (host, path, n) with its template; where the table is; and the number of levels that paths share.
+
+    A path that is alone under its node has no siblings further down, so the
+    rest of its template is written at once.
+    """
+    variable = lambda part: part.rlike("[0-9]")
     parts = F.split(F.regexp_replace("path", "^/", ""), "/")
-    tail = F.when(F.size("parts") > levels, F.concat(F.slice("parts", 1, levels), F.array(F.lit("**")))).otherwise(F.col("parts"))
-    now = paths.withColumn("parts", parts).withColumn("parts", tail).withColumn("template", F.lit(""))
+    now = paths.withColumn("parts", parts).withColumn("template", F.lit("")).withColumn("done", F.lit(False))
     now, at = materialize(now, "paths")
-    deepest = now.agg(F.max(F.size("parts"))).first()[0] or 0
-    for level in range(deepest):
-        part = F.get("parts", F.lit(level))
+    level = 0
+    while now.where(~F.col("done") & (F.size("parts") > level)).limit(1).count():
+        part = F.when(~F.col("done"), F.get("parts", F.lit(level)))
         here = now.withColumn("part", part)
-        child = here.where("part is not null").groupBy("host", "template", "part").agg(F.sum("n").alias("n_child"))
-        node = child.groupBy("host", "template").agg(F.count("*").alias("children"), F.sum("n_child").alias("n_node"))
+        child = here.where("part is not null").groupBy("host", "template", "part").agg(F.sum("n").alias("n_child"), F.count("*").alias("n_paths"))
+        node = child.groupBy("host", "template").agg(F.count("*").alias("children"), F.sum("n_child").alias("n_node"), F.sum("n_paths").alias("paths"))
         grown = here.join(child, ["host", "template", "part"], "left").join(node, ["host", "template"], "left")
         rare = (F.col("children") > fanout) & (F.col("n_child") < common * F.col("n_node"))
-        name = F.when(F.col("part").rlike("[0-9]") | rare, "*").otherwise(F.col("part"))
-        grown = grown.withColumn("template", F.when(F.col("part").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), name)))
+        name = F.when(variable(F.col("part")) | rare, "*").otherwise(F.col("part"))
+        alone = F.col("part").isNotNull() & (F.col("paths") == 1)
+        rest = F.array_join(F.transform(F.expr(f"slice(parts, {level + 1}, greatest(size(parts) - {level}, 0))"), lambda p: F.concat(F.lit("/"), F.when(variable(p), "*").otherwise(p))), "")
+        grown = grown.withColumn("done", F.col("done") | F.coalesce(alone, F.lit(False)))
+        grown = grown.withColumn("template", F.when(F.col("part").isNull(), F.col("template")).when(alone, F.concat("template", rest)).otherwise(F.concat("template", F.lit("/"), name)))
         nxt, path = materialize(grown.select(*now.columns), "paths")
-        release(spark, at)
+        release(paths.sparkSession, at)
+        now, at, level = nxt, path, level + 1
+    return now.drop("parts", "done"), at, level
+
+
+def sibling_names(names: list[str], labelled: list[int], bad: list[int], similar: float = SIMILAR) -> list[str]:
+    """New names of a node's children: nearest labelled groups merge while their rates do not differ significantly.
+
+    One group of all is *; a smaller one names its members, or is * if it holds
+    the wildcard.  Unlabelled children go to *.
+    """
+    groups = sorted(([[n], y, b] for n, y, b in zip(names, labelled, bad, strict=True) if y), key=lambda g: (g[2] / g[1], g[0]))
+    while len(groups) > 1:
+
+        def apart(i):
+            (_, m, a), (_, n, b) = groups[i : i + 2]
+            rate = (a + b) / (m + n)
+            error = (rate * (1 - rate) * (1 / m + 1 / n)) ** 0.5
+            return (b / n - a / m) / error if error and b / n > a / m else 0.0
+
+        at = min(range(len(groups) - 1), key=apart)
+        if apart(at) > similar:
+            break
+        groups[at : at + 2] = [[sum((g[k] for g in groups[at : at + 2]), [] if k == 0 else 0) for k in range(3)]]
+    new = dict.fromkeys(names, "*")
+    if len(groups) > 1:
+        for members, _, _ in groups:
+            if "*" not in members:
+                new |= dict.fromkeys(members, members[0] if len(members) == 1 else "{" + "|".join(sorted(members)) + "}")
+    return [new[n] for n in names]
+
+
+def merge_siblings(leaves: DataFrame, levels: int, similar: float = SIMILAR) -> DataFrame:
+    """leaves (host, template, labelled, bad) with merged, from the deepest shared level up.
+
+    Siblings agree in all segments but that of the level.  A node has at most
+    FANOUT literal children, or 1 / COMMON of them, so its list is short.
+    """
+    rename = F.udf(lambda found: [(n, m) for n, m in zip([c["seg"] for c in found], sibling_names([c["seg"] for c in found], [c["labelled"] for c in found], [c["bad"] for c in found], similar), strict=True)], "array<struct<seg:string,name:string>>")
+    now = leaves.withColumn("segs", F.split(F.regexp_replace("template", "^/", ""), "/"))
+    now, at = materialize(now, "leaves")
+    for level in range(levels - 1, -1, -1):
+        keyed = now.select("*", F.slice("segs", 1, level).alias("__head"), F.get("segs", F.lit(level)).alias("seg"), F.expr(f"slice(segs, {level + 2}, greatest(size(segs) - {level + 1}, 0))").alias("__tail"))
+        key = ["host", "__head", "__tail"]
+        child = keyed.where("seg is not null").groupBy(*key, "seg").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
+        nodes = child.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("seg", "labelled", "bad"))).alias("found")).where(F.size("found") > 1)
+        named = nodes.select(*key, F.explode(rename("found")).alias("new")).select(*key, F.col("new.seg").alias("seg"), F.col("new.name").alias("__name"))
+        grown = keyed.join(named, [*key, "seg"], "left")
+        segs = F.when(F.col("__name").isNull(), F.col("segs")).otherwise(F.concat("__head", F.array("__name"), "__tail"))
+        nxt, path = materialize(grown.select(*[c for c in now.columns if c != "segs"], segs.alias("segs")), "leaves")
+        release(leaves.sparkSession, at)
         now, at = nxt, path
-    return now.drop("parts"), at
+    merged = F.when(F.col("template") == "", "").otherwise(F.concat(F.lit("/"), F.array_join("segs", "/")))
+    return now.withColumn("merged", merged).drop("segs")
 
 
 def judge(pages: DataFrame, id_col: str, url_col: str, rules: list[Rule], label: Column | None = None, similar: float = SIMILAR, pseudo: float = PSEUDO, pure: float = PURE) -> DataFrame:
@@ -91,22 +146,15 @@ def judge(pages: DataFrame, id_col: str, url_col: str, rules: list[Rule], label:
     has empty host and path and is judged like any other; repeated rows count
     and stay; a null id stays null.
     """
-    spark = pages.sparkSession
     parsed = pages.select(F.col(id_col), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     parsed = apply_rules(parsed, rules)
     label = label if label is not None else F.when(F.col("rule_verdict") == "block", 1).when(F.col("rule_verdict") == "allow", 0)
     counts = parsed.withColumn("__y", label.cast("int")).groupBy("host", "path").agg(F.count("*").alias("n"), F.count("__y").alias("labelled"), F.coalesce(F.sum("__y"), F.lit(0)).cast("long").alias("bad"))
-    tree, _ = template_tree(counts)
+    tree, _, levels = template_tree(counts)
 
     sums = [F.sum(c).alias(c) for c in ("n", "labelled", "bad")]
     leaves = tree.groupBy("host", "template").agg(*sums)
-    # Siblings: branches that differ in their first literal segment only.
-    leaves = leaves.withColumn("wide", F.regexp_replace("template", r"^((?:/\*)*)/[^/*]+(?=/|$)", "$1/*"))
-    pooled = leaves.groupBy("host", "wide").agg(F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad"))
-    leaves = leaves.join(pooled, ["host", "wide"])
-    rate, own = F.try_divide("all_bad", "all_labelled"), F.try_divide("bad", "labelled")
-    alike = (F.col("labelled") == 0) | (F.abs(own - rate) <= similar * F.sqrt(F.try_divide(rate * (1 - rate), "labelled")))
-    leaves = leaves.withColumn("merged", F.when(F.coalesce(alike, F.lit(True)), F.col("wide")).otherwise(F.col("template")))
+    leaves = merge_siblings(leaves, levels, similar)
     merged = leaves.groupBy("host", "merged").agg(F.sum("labelled").alias("m_labelled"), F.sum("bad").alias("m_bad"))
     hosts = leaves.groupBy("host").agg(F.sum("labelled").alias("h_labelled"), F.sum("bad").alias("h_bad"))
     whole = counts.agg(F.sum("labelled"), F.sum("bad")).first()

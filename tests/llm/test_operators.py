@@ -49,6 +49,26 @@ def test_templates_generalise_merge_and_reject(spark):
     assert got[0]["verdict"] == "allow" and len(got) == 125
 
 
+def test_siblings_merge_at_every_level(spark):
+    """Sparse bad branches below the first segment, and pages told apart after the sixth."""
+    bad, good = [f"b{c}" for c in "pqrstuvw"], [f"g{c}" for c in "pqrs"]
+    rows = [(f"http://h.net/top/{s}/x", int(s in bad)) for s in bad + good] + [(f"http://h.net/top/g{c}/{i}", 0) for c in "pqrs" for i in range(30)]
+    deep = [(f"http://d.net/1/a/b/c/d/e/f/{'bad' if y else 'good'}/{i}", y) for y in (0, 1) for i in range(20)]
+    pages = spark.createDataFrame([(i, u, y) for i, (u, y) in enumerate(rows + deep)], "page_id long, url string, y int")
+    label = F.when(F.col("path").rlike("/(b[a-z]/|bad/)"), 1).otherwise(0)
+    got = {r["page_id"]: r for r in urls.judge(pages, "page_id", "url", [], label).collect()}
+    assert [got[i]["verdict"] for i in range(len(rows + deep))] == ["block" if y else "allow" for _, y in rows + deep]
+    assert len({got[i]["template"] for i in range(8)}) == 1 and got[len(rows)]["template"] == "/*/a/b/c/d/e/f/good/*"
+    assert urls.judge(spark.createDataFrame([(1, "http://h.net/" + "a/" * 3000)], "page_id long, url string"), "page_id", "url", []).first()["template"].count("/") == 3001
+
+
+def test_sibling_names():
+    assert urls.sibling_names(["a", "b", "c"], [40, 40, 40], [0, 40, 0]) == ["{a|c}", "b", "{a|c}"]
+    assert urls.sibling_names(["*", "a", "b"], [40, 40, 0], [0, 40, 0]) == ["*", "a", "*"]
+    assert urls.sibling_names(["a", "b"], [1, 0], [1, 0]) == ["*", "*"]
+    assert urls.sibling_names(list("abcdef"), [1] * 3 + [9] * 3, [1] * 3 + [0] * 3) == ["{a|b|c}"] * 3 + ["{d|e|f}"] * 3
+
+
 # 2 Transport streams -----------------------------------------------------------
 @pytest.mark.parametrize("size", [0, 1, 100, 161, 162, 163, 175, 176, 183, 184, 345, 346, 347, 5000, 32_767, 32_768, 32_769, 100_001])
 def test_stream_round_trip(size):
