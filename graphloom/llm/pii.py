@@ -35,6 +35,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[^0-9]+")
+_REPEATED = re.compile(r"(.{1,12}?)\1{8,}")
 #: A token without any of these is plain.
 _TELLING = re.compile(r"[0-9@:]")
 
@@ -84,9 +85,12 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def shape(token: str) -> str:
-    """Word shape: runs of letters as A or a, digits as 9 with the run's length, other characters as they are."""
+    """Word shape: runs of letters as A or a, digits as 9 with the run's length, other characters as they are.
+
+    The whole token counts; in a shape over 80 long, what repeats more than eight times on end is kept eight times.
+    """
     out = []
-    for run in re.finditer(r"[0-9]+|[^\W\d_]+|[^0-9]", token[:80], re.UNICODE):
+    for run in re.finditer(r"[0-9]+|[^\W\d_]+|[^0-9]", token, re.UNICODE):
         s = run[0]
         if s[0] in "0123456789":
             out.append(f"9{min(len(s), 20)}")
@@ -94,7 +98,8 @@ def shape(token: str) -> str:
             out.append("A" if s[0].isupper() else "a")
         else:
             out.append(s if ord(s) < 128 else "u")
-    return "".join(out)
+    whole = "".join(out)
+    return whole if len(whole) <= 80 else _REPEATED.sub(lambda m: m[1] * 8, whole)
 
 
 def token_features(token: str) -> tuple[list[str], str]:

@@ -375,6 +375,13 @@ def test_split_keeps_to_plausible_parts():
     assert sum(len(x.split()) for x in cut("phone", "1 " * 50_000)) == 50_000
 
 
+def test_shape_sees_the_whole_token():
+    assert pii.shape("x" * 79 + "1.2@y") == "a91.91@a" and pii.shape("+12-(3)") == "+92-(91)"
+    long = "ab1-" * 40
+    assert pii.shape(long + "@") == pii.shape(long[:-4] + "@") == "a91-" * 8 + "@"
+    assert len(pii.shape("1." * 150_000)) < 80 and pii.shape("-1" * 40 + "@a") != pii.shape("-1" * 40)
+
+
 def test_pii_query(spark):
     texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     for r in Q["op10_personal_data"](spark, SF).collect():
