@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..catalog import small
 from ..functions import scalars as S
 from ..model import SEVERITY_RANK, severity_rank
+from ..storage import materialize, release
 
 EVENT = "ts string, kind string, source_file string, payload map<string,string>, ontology_ref string, severity string, epoch_ns long"
 
@@ -30,16 +31,18 @@ def walk(docs: DataFrame, column: str = "doc", depth: int | None = None) -> Data
     """[T7] Every entry of nested documents: doc columns with path, key and value (VARIANT).
 
     One lateral explode per level, the frontier of containers feeding the next.
-    Without ``depth`` the levels go on until the frontier is empty, which one
-    job tests after every eight; ``depth`` is for documents known to be flatter.
+    Without ``depth`` the levels go on until the frontier is empty: after every
+    eight the containers left are written to the shared folder, which also cuts
+    their lineage; ``depth`` is for documents known to be flatter.
     """
     spark, keep = docs.sparkSession, [c for c in docs.columns if c != column]
     level = docs.select(*keep, F.lit("$").alias("path"), F.col(column).alias("value"))
     out, done = None, 0
     while done != depth:
         if depth is None and done and done % 8 == 0:
-            level = level.where(F.schema_of_variant("value").rlike("^(OBJECT|ARRAY)")).localCheckpoint()
+            level, path = materialize(level.where(F.schema_of_variant("value").rlike("^(OBJECT|ARRAY)")), "walk")
             if level.isEmpty():
+                release(spark, path)
                 break
         done += 1
         inner = level.where(F.schema_of_variant("value").rlike("^(OBJECT|ARRAY)")).select(*keep, F.col("path").alias("__path"), F.col("value").alias("__v"))
