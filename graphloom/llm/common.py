@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows per Arrow batch for operators that see whole texts: a batch of long
-#: documents must still fit a Python worker.
-TEXT_BATCH_ROWS = 256
+from ..storage import materialize, release
+
+__all__ = ["CACHE_WORDS", "TEXT_BATCH_BYTES", "TEXT_BATCH_ROWS", "WordHashes", "materialize", "mix64", "partition_id", "release", "shingles", "table", "text_slices", "words_of"]
+
+#: Rows, and bytes of text, that an operator on whole texts works on at once.
+TEXT_BATCH_ROWS, TEXT_BATCH_BYTES = 256, 4 << 20
 #: A word cache is emptied at this size, so a worker's memory stays bounded.
 CACHE_WORDS = 400_000
 
@@ -23,47 +25,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
+def text_slices(batches: Iterator[pa.RecordBatch], column: int, rows: int = TEXT_BATCH_ROWS, most: int = TEXT_BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut (without copying) to at most ``rows`` rows and ``most`` bytes of a text or binary column.
 
-    Taken from ``spark.checkpoint.dir`` (or the context's checkpoint folder).
-    Only a local master without that setting gets a temporary folder.
+    Spark bounds a batch to 64 MiB; what an operator makes of it at once is bounded
+    here.  A longer text is a slice by itself.  Empty batches pass.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="graphloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def materialize(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
-    """Write df as Parquet in the shared folder and read it back.
-
-    Cuts the lineage: what was written survives the loss of any executor.
-    Returns the table and its path, for :func:`release`.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/graphloom/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
-def release(spark: SparkSession, *paths: str) -> None:
-    """Delete tables of :func:`materialize` that no later plan reads."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for path in paths:
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(conf).delete(where, True)
-
-
-def small_batches(spark: SparkSession, rows: int = TEXT_BATCH_ROWS) -> None:
-    """Bound the rows of an Arrow batch handed to Python workers."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            yield batch
+            continue
+        upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < n:
+            held = upto[at - 1] if at else 0
+            end = min(max(int(np.searchsorted(upto, held + most, "right")), at + 1), at + rows, n)
+            yield batch.slice(at, end - at)
+            at = end
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -115,14 +94,3 @@ def partition_id() -> int:
 
     context = TaskContext.get()
     return context.partitionId() if context else 0
-
-
-def rows_of(batches: Iterator) -> Iterator[dict]:
-    """Rows of Arrow batches, one at a time."""
-    for batch in batches:
-        yield from batch.to_pylist()
-
-
-def ensure_importable() -> str:
-    """The folder to have on PYTHONPATH for workers, for error messages."""
-    return os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))

@@ -25,10 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import CACHE_WORDS, materialize, small_batches
+from .common import CACHE_WORDS, materialize, text_slices
 
-#: Rows of (tokens, membership) in a batch of the fit.
-FIT_ROWS = 10_000
 #: Distance to a target, as a part of it, that is reported.
 TOLERANCE = 0.01
 #: Windows that a domain's labelled rows are dealt over before the last choice.
@@ -120,7 +118,7 @@ def train_domains(docs: DataFrame, ids: DataFrame | None = None, rows_per_domain
     """Fit on (doc_id, text, domain) of the ids in ``ids`` (default: all): the first ``rows_per_domain`` by a hash of the id, texts up to ``longest``.
 
     Both are documented bounds of the classifier's sample only.  Null domains,
-    ids and texts teach nothing.  One scan picks the ids, a second fetches their
+    ids and texts teach nothing; of several texts of an id and domain the least does.  One scan picks the ids, a second fetches their
     texts by a broadcast of at most ``rows_per_domain`` ids per domain, so no
     text is shuffled before that; salted windows keep a domain's rows apart
     until few are left.
@@ -138,19 +136,19 @@ def train_domains(docs: DataFrame, ids: DataFrame | None = None, rows_per_domain
         return fit_domains([], [])
     bounded = spark.createDataFrame(picked, docs.select(F.col("doc_id").alias("__id"), F.col("domain").alias("__domain")).schema)
     same = (F.col("doc_id") == F.col("__id")) & (F.col("domain") == F.col("__domain"))
-    found = docs.join(F.broadcast(bounded), same, "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(4 * len(picked)).collect()
+    found = docs.join(F.broadcast(bounded), same, "left_semi").groupBy("doc_id", "domain").agg(F.min("text").alias("text")).collect()
+    found.sort(key=lambda r: (r["domain"], r["doc_id"]))
     return fit_domains([r["text"] for r in found], [r["domain"] for r in found])
 
 
 def with_membership(docs: DataFrame, model: DomainModel) -> DataFrame:
     """docs with tokens (words) and membership (posterior by domain, in the model's order)."""
-    small_batches(docs.sparkSession)
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("tokens", "membership")])
     at = docs.columns.index("text")
 
     def run(batches):
         of = model.members()
-        for batch in batches:
+        for batch in text_slices(batches, at):
             found = [of(t) for t in batch.column(at).to_pylist()]
             new = [pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, "tokens", "membership"])
@@ -274,7 +272,6 @@ def fit_rates(members: DataFrame, weights: list[float] | None, low: float = 0.0,
     brings a domain nearer.
     """
     k = len(weights) if weights is not None else len((members.select("membership").first() or [[]])[0] or [])
-    small_batches(members.sparkSession, FIT_ROWS)
     now = domain_sums(members, k)
     total = sum(now)
     if not total:

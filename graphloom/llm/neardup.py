@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, materialize, mix64, release, shingles, small_batches, words_of
+from .common import WordHashes, materialize, mix64, release, shingles, text_slices, words_of
 from .components import connected_components
 
 SLOTS = 96
@@ -92,7 +92,7 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 def _signer(width: int, slots: int, bands: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, known = WordHashes(), {}
-        for batch in batches:
+        for batch in text_slices(batches, 1):
             n, names, keys, signs = [], [], [], []
             for text in batch.column(1).to_pylist():
                 x = shingles(words_of(text), width, hashes)
@@ -120,7 +120,7 @@ def _sets(width: int):
 
     def run(batches):
         hashes = WordHashes()
-        for batch in batches:
+        for batch in text_slices(batches, 1):
             nodes, out = [], []
             for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 x = shingles(words_of(text), width, hashes)
@@ -136,7 +136,7 @@ def _checker(percent: int):
 
     def check(batches):
         at, centre = None, None
-        for batch in batches:
+        for batch in text_slices(batches, 4):
             a, b = [], []
             for left, salt, kind, right, data in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 x = np.frombuffer(data, np.uint64)
@@ -197,7 +197,7 @@ def _linker(percent: int, slots: int):
 
     def link(batches):
         group, rows = None, []
-        for batch in batches:
+        for batch in text_slices(batches, 10):
             out = []
             for row in zip(*(batch.column(i).to_pylist() for i in range(11)), strict=True):
                 if row[:3] != group:
@@ -243,7 +243,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     null and kept true, as nothing names it a copy.  Other columns are ignored.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed, _ = materialize(source.mapInArrow(_signer(width, slots, bands), "doc_id long, n_shingles long, node binary, keys array<long>, sign binary"), "signed")
     classes, _ = materialize(

@@ -15,6 +15,7 @@ from __future__ import annotations
 import heapq
 import json
 import os
+import random
 import re
 import zlib
 
@@ -23,14 +24,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partition_id, small_batches
+from .common import partition_id, text_slices
 
 CAPACITY = 1024
 #: Pieces in a buffer, and the longest piece there: shorter pieces balance better, at the price of more cuts.
 BUFFER = 256
 LONGEST = 256
-#: Texts of each batch that are encoded twice, and their longest; a word or blank run this long is left to the tokenizer.
-PROBES, PROBE_CHARS, LONG_RUN = 4, 4000, 5000
+#: Texts that both forms of a vocabulary must encode alike before the faster one is used.
+PROBES = 3000
+#: A word or blank run this long goes to the tokenizer, as merging takes the faster form quadratic time there; the ids are the same.
+LONG_RUN = 5000
 # Fixed value: how a byte-level tokenizer cuts text before merging.
 PIECE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _LONG = re.compile(rf"(?<!\S)\S{{{LONG_RUN}}}|(?<!\s)\s{{{LONG_RUN}}}")
@@ -71,20 +74,38 @@ def balance(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
         k += 1
 
 
+def probe_texts(seed: int = 5, n: int = PROBES) -> list[str]:
+    """Fixed texts of all sorts of characters and blanks, to hold two encoders against each other."""
+    r = random.Random(seed)
+    blanks = [" ", "  ", "\n", "\n\n", "\t", "\r\n", "\u00a0", "\u2003", "\u3000", "\x0b", "\x1f", "\x85", "\u200b"]
+    words = ["the", "don't", "I'll", "we've", "it's", "THE", "'s", "x'", "straße", "naïve", "École", "año", "Ünder", "12", "3.14", "2024-01-02", "a@b.cd", "+1 (377) 555", "foo_bar", "Ⅷ", "½", "٣٤", "日本語", "한국어", "русский", "עברית", "e\u0301", "𝄞", "👩\u200d💻", "\ufffd", "…", "--", "?!", "«»", "\\n", "<b>", "\x00", "\x7f"]
+
+    def piece():
+        k = r.randrange(6)
+        if k <= 2:
+            return r.choice(words)
+        if k == 3:
+            return "".join(r.choice("abcdefghijklmnopqrstuvwxyzABC") for _ in range(r.randint(1, 14)))
+        if k == 4:
+            return "".join(chr(r.choice([r.randrange(32, 127), r.randrange(160, 0x250), r.randrange(0x370, 0x600), r.randrange(0x4E00, 0x5000), r.randrange(0x1F300, 0x1F600)])) for _ in range(r.randint(1, 6)))
+        return r.choice(blanks) * r.randint(1, 3)
+
+    return ["".join(piece() + r.choice(["", " ", r.choice(blanks)]) for _ in range(r.randint(0, 12))) for _ in range(n)]
+
+
 class Tokens:
     """text -> token ids.
 
     Texts go to a faster form of the tokenizer's vocabulary where there is one;
     those that might hold a special token or have a very long word or blank run
-    go to the tokenizer itself.  Some texts of each batch are encoded by both:
-    at a difference the faster form is dropped.
+    go to the tokenizer itself.  :meth:`verify` holds both against each other.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path)
+        self.path, self.model = path, Tokenizer.from_file(path)
         self.ranks, self.special = self._ranks(path)
 
     @staticmethod
@@ -102,6 +123,14 @@ class Tokens:
 
         return tiktoken.Encoding("pieces", pat_str=PIECE_PATTERN, mergeable_ranks=ranks, special_tokens={}), special
 
+    def verify(self) -> None:
+        """Raise if the faster form gives other ids than the tokenizer for any of the fixed probe texts."""
+        if self.ranks:
+            texts = [t for t in probe_texts() if self._plain(t)]
+            for text, ids in zip(texts, self._exact(texts), strict=True):
+                if self.ranks.encode_ordinary(text) != ids.tolist():
+                    raise ValueError(f"{self.path}: its merge ranks give other ids than the tokenizer for {text!r}")
+
     def _plain(self, text: str) -> bool:
         return not any(s in text for s in self.special) and (len(text) < LONG_RUN or not _LONG.search(text))
 
@@ -110,10 +139,6 @@ class Tokens:
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         texts = [t or "" for t in texts]
-        if self.ranks:
-            probe = [t for t in texts if len(t) <= PROBE_CHARS and self._plain(t)][:PROBES]
-            if any(self.ranks.encode_ordinary(t) != ids.tolist() for t, ids in zip(probe, self._exact(probe), strict=True)):
-                self.ranks = None
         return [self.ranks.encode_to_numpy(t, disallowed_special=()).astype("<u4") if self.ranks and self._plain(t) else self._exact([t])[0] for t in texts]
 
 
@@ -125,8 +150,9 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     ``longest`` that share windows.  A row gets its pieces even if its id is
     null or repeated.  Windows have gapless offsets from 0; sequence_id is
     unique and the same when a task is run again.  ``with_ids``: the ids too.
+    Raises before any work if the two encoders of :class:`Tokens` differ.
     """
-    small_batches(docs.sparkSession)
+    Tokens(tokenizer).verify()
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     fields = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.list_(pa.int32()))]
     fields = fields if with_ids else fields[:-1]
@@ -154,7 +180,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         def batch_of(out):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(out, fields, strict=True)], names=[f[0] for f in fields])
 
-        for batch in batches:
+        for batch in text_slices(batches, 1):
             out = [[] for _ in fields]
             ids_of, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for doc, ids in zip(ids_of, tokens.encode(texts), strict=True):

@@ -1,15 +1,17 @@
-"""Personal data: fixed patterns, and spans added by a linear-chain conditional random field.
+"""Personal data: fixed patterns, and spans added by linear-chain conditional random fields.
 
-The field labels blank-delimited tokens of a line with O, email, ip, card or
-phone from word-shape features of a token and its neighbours.  It is trained
-here on a small labelled table by exact gradients (forward-backward) and
-decoded by Viterbi over numpy batches of lines.
+A field labels blank-delimited tokens of a line from word-shape features of a
+token and its neighbours: one with O, email, ip, card or phone, a second one
+with O or secret (keys, tokens, passwords), whose spans may not overlap the
+others.  Both are trained here on small labelled tables by exact gradients
+(forward-backward) and decoded by Viterbi over numpy batches of lines.
 """
 
 from __future__ import annotations
 
 import random
 import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,10 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_WORDS, small_batches
+from .common import CACHE_WORDS, text_slices
 
 KINDS = ("email", "ip", "card", "phone")
-LABELS = ("O", *KINDS)
+#: The kinds in the order that spans are listed in; fixed patterns find the first four.
+ALL_KINDS = (*KINDS, "secret")
+LABELS, SECRET_LABELS = ("O", *KINDS), ("O", "secret")
+#: Cells (lines x tokens) that Viterbi decodes at once; a longer line is decoded alone.
+VITERBI_CELLS = 1 << 17
 
 # The base patterns of the contract.
 #   email [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+
@@ -172,6 +178,98 @@ def labelled_table(sentences: int = 240, seed: int = 7) -> list[list[tuple[str,
     return table
 
 
+#: Words beside which a long mixed token is a secret, and those beside which it is a public digest or name.
+CUES = ("token", "key", "secret", "password", "passwd", "pwd", "bearer", "credential", "auth", "apikey")
+PUBLIC_CUES = ("commit", "sha", "md5", "digest", "checksum", "uuid", "etag", "hash", "build", "version", "revision")
+_VALUE = re.compile(r"[A-Za-z0-9+/_.~-]{16,}={0,2}")
+_PART_WORD = re.compile(r"[a-z]+")
+
+
+def _value_of(token: str) -> tuple[int, int] | None:
+    """Where a token's long mixed value is (letters and digits, 16 characters or more): the last such run after = or :, else None."""
+    for m in reversed(list(_VALUE.finditer(token))):
+        run = m[0]
+        if "://" not in token and any(c in "0123456789" for c in run) and any(c.isalpha() for c in run):
+            return m.span()
+    return None
+
+
+def secret_features(token: str) -> tuple[list[str], str]:
+    """As :func:`token_features`, for the field of secrets."""
+    at = _value_of(token) if len(token) >= 16 else None
+    words = set(_PART_WORD.findall(token[: at[0]].lower() if at else token.lower())) if at or len(token) <= 40 else set()
+    cue = "cue" if words & set(CUES) else "public" if words & set(PUBLIC_CUES) else ""
+    if at is None:
+        if cue:
+            return ["cue:" + cue], cue
+        if "@" in token or "/" in token:
+            return ["address"], "address"
+        return ["other"], "mark" if not any(c.isalnum() for c in token) else "other"
+    run = token[at[0] : at[1]]
+    digits = sum(c in "0123456789" for c in run)
+    letters = {c.lower() for c in run if c.isalpha()}
+    own = ["value", f"hex={letters <= set('abcdef')}", f"long={min(len(run) // 8, 8)}", f"digits={10 * digits // len(run)}", f"case={any(c.isupper() for c in run) + 2 * any(c.islower() for c in run)}", f"inside={cue}"]
+    own += [f"has{c}" for c in "./_-+~" if c in run]
+    own += [f"at{c}" for c in "@/" if c in token[: at[0]] + token[at[1] :]]
+    own += [f"starts={run[:4].lower()}"] if run[:4].lower() in ("akia", "ghp_", "sk-l", "sk_l", "xoxb", "eyjh") else []
+    return own, "value"
+
+
+def secret_table(sentences: int = 300, seed: int = 11) -> list[list[tuple[str, str]]]:
+    """The labelled table of secrets: assignments and bearer lines, beside digests, names, addresses and numbers that are none."""
+    r = random.Random(seed)
+    pick = lambda chars, k: "".join(r.choice(chars) for _ in range(k))
+    lower, upper, num = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    hexa = lambda k: pick("0123456789abcdef", k)
+    word = lambda: "".join(r.choice(["er", "on", "the", "ou", "lich", "ción", "eau", "st", "ra", "in"]) for _ in range(r.randint(1, 4)))
+
+    def value():
+        return r.choice([hexa(32), hexa(40), hexa(40).upper(), hexa(64), pick(lower + upper + num, r.randint(20, 48)), pick(lower + upper + num + "+/", 44) + "=", "sk-l" + pick(lower + num, 32)])
+
+    def secret():
+        cue = r.choice([*CUES, "api_key", "access_token", "client_secret", "x-api-key", "auth_token"])
+        cue = cue.upper() if r.random() < 0.3 else cue
+        k, v = r.randrange(6), value()
+        if k <= 1:
+            return [(cue, "O"), ("=", "O"), (f'"{v}"', "secret")]
+        if k == 2:
+            return [(cue + ":", "O"), (v, "secret")]
+        if k == 3:
+            return [(f"{cue}={v}", "secret")]
+        if k == 4:
+            return [("Authorization:", "O"), ("Bearer", "O"), (v, "secret")]
+        return [(r.choice(["AKIA" + pick(upper + num, 16), "ghp_" + pick(lower + upper + num, 36)]), "secret")]
+
+    def other():
+        k, public = r.randrange(10), r.choice(PUBLIC_CUES)
+        if k <= 1:
+            return [(public, "O"), (r.choice([hexa(40), hexa(64), hexa(32)]), "O")]
+        if k == 2:
+            return [(public, "O"), ("=", "O"), (f'"{hexa(40)}"', "O")]
+        if k == 3:
+            return [(f"{public}={hexa(40)}", "O")]
+        if k == 4:
+            return [(r.choice([hexa(40), f"{hexa(8)}-{hexa(4)}-{hexa(4)}-{hexa(4)}-{hexa(12)}"]), "O")]
+        if k == 5:
+            return [(f"{word()}.{pick(num, 2)}@mail{pick(num, 1)}.{word()}.com", "O")]
+        if k == 6:
+            return [(f"https://www.{word()}.com/{word()}/{pick(num, 8)}/{word()}-{word()}-{word()}", "O")]
+        if k == 7:
+            return [(f"{word()}_{pick(num, 8)}_{pick(num, 6)}_{word()}.jpg", "O")]
+        if k == 8:
+            return [(r.choice(CUES), "O"), (r.choice([word(), pick(num, 4), "="]), "O"), (word(), "O")]
+        return [(f"20{pick(num, 2)}-{pick(num, 2)}-{pick(num, 2)}T{pick(num, 2)}:{pick(num, 2)}:{pick(num, 2)}Z", "O")]
+
+    table = []
+    for _ in range(sentences):
+        row = [(word(), "O") for _ in range(r.randint(0, 5))]
+        for _ in range(r.randint(1, 3)):
+            row += secret() if r.random() < 0.5 else other()
+            row += [(word(), "O") for _ in range(r.randint(0, 4))]
+        table.append(row)
+    return table
+
+
 def _lse(x: np.ndarray, axis: int) -> np.ndarray:
     top = x.max(axis, keepdims=True)
     return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis))
@@ -179,39 +277,50 @@ def _lse(x: np.ndarray, axis: int) -> np.ndarray:
 
 @dataclass
 class Field:
-    """features: name -> row of ``weights`` (features x labels); ``moves``: label x label; ``starts``: labels."""
+    """features: name -> row of ``weights`` (features x labels); ``moves``: label x label; ``starts``: labels.
+
+    ``of``: token -> (own features, class that its neighbours see).
+    """
 
     features: dict[str, int]
     weights: np.ndarray
     moves: np.ndarray
     starts: np.ndarray
+    labels: tuple[str, ...] = LABELS
+    of: Callable[[str], tuple[list[str], str]] = token_features
 
     def emission(self, token: str) -> tuple[np.ndarray, str]:
-        own, coarse = token_features(token)
+        own, coarse = self.of(token)
         ids = [self.features[f] for f in own if f in self.features]
         return self.weights[ids].sum(0), coarse
 
     def beside(self, side: str, coarse: str) -> np.ndarray:
         i = self.features.get(side + coarse)
-        return self.weights[i] if i is not None else np.zeros(len(LABELS))
+        return self.weights[i] if i is not None else np.zeros(len(self.labels))
+
+
+#: Neighbours whose classes are features of a token: how they are named, and where they are.
+SIDES = (("<", -1), (">", 1))
+FAR_SIDES = (*SIDES, ("<<", -2))
 
 
-def _line_features(tokens: list[str]) -> list[list[str]]:
-    own = [token_features(t) for t in tokens]
-    return [f + ["<" + (own[i - 1][1] if i else "edge"), ">" + (own[i + 1][1] if i + 1 < len(own) else "edge")] for i, (f, _) in enumerate(own)]
+def _line_features(tokens: list[str], of=token_features, sides=SIDES) -> list[list[str]]:
+    own = [of(t) for t in tokens]
+    seen = lambda i: own[i][1] if 0 <= i < len(own) else "edge"
+    return [f + [side + seen(i + d) for side, d in sides] for i, (f, _) in enumerate(own)]
 
 
-def fit(table: list[list[tuple[str, str]]], epochs: int = 120, rate: float = 0.15, ridge: float = 0.02) -> Field:
+def fit(table: list[list[tuple[str, str]]], epochs: int = 120, rate: float = 0.15, ridge: float = 0.02, labels: tuple[str, ...] = LABELS, of=token_features, sides=SIDES) -> Field:
     """Maximum likelihood with a ridge, by Adam on exact gradients."""
-    lines = [_line_features([t for t, _ in row]) for row in table]
+    lines = [_line_features([t for t, _ in row], of, sides) for row in table]
     names = {f: i for i, f in enumerate(sorted({f for line in lines for fs in line for f in fs}))}
-    size, k, longest = len(lines), len(LABELS), max(map(len, lines))
+    size, k, longest = len(lines), len(labels), max(map(len, lines))
     mask = np.zeros((size, longest), bool)
     gold = np.zeros((size, longest), int)
     cell, feat = [], []
     for i, (line, row) in enumerate(zip(lines, table, strict=True)):
         for t, fs in enumerate(line):
-            mask[i, t], gold[i, t] = True, LABELS.index(row[t][1])
+            mask[i, t], gold[i, t] = True, labels.index(row[t][1])
             cell += [i * longest + t] * len(fs)
             feat += [names[f] for f in fs]
     cell, feat = np.array(cell), np.array(feat)
@@ -238,15 +347,18 @@ def fit(table: list[list[tuple[str, str]]], epochs: int = 120, rate: float = 0.1
         grad = np.concatenate([g_w.ravel(), g_m.ravel(), diff[:, 0].sum(0)]) / size + ridge * theta / size
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         theta = theta - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return Field(names, theta[: len(names) * k].reshape(-1, k), theta[len(names) * k : -k].reshape(k, k), theta[-k:])
+    return Field(names, theta[: len(names) * k].reshape(-1, k), theta[len(names) * k : -k].reshape(k, k), theta[-k:], labels, of)
 
 
 def viterbi(lines: list[np.ndarray], moves: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
-    """Best label path of each line of emissions (tokens x labels), all lines of similar length at once."""
+    """Best label path of each line of emissions (tokens x labels), lines of similar length at once, up to VITERBI_CELLS cells."""
     out: list = [None] * len(lines)
-    order = sorted(range(len(lines)), key=lambda i: len(lines[i]))
-    for at in range(0, len(order), 128):
-        part = order[at : at + 128]
+    order, at = sorted(range(len(lines)), key=lambda i: len(lines[i])), 0
+    while at < len(order):
+        end = at + 1
+        while end < len(order) and (end + 1 - at) * len(lines[order[end]]) <= VITERBI_CELLS:
+            end += 1
+        part, at = order[at:end], end
         longest = len(lines[part[-1]])
         e = np.zeros((len(part), longest, len(starts)))
         size = np.array([len(lines[i]) for i in part])
@@ -274,6 +386,8 @@ def viterbi(lines: list[np.ndarray], moves: np.ndarray, starts: np.ndarray) -> l
 
 
 def _plausible(kind: str, text: str) -> bool:
+    if kind == "secret":
+        return _value_of(text) is not None
     digits = len(_DIGITS.sub("", text))
     if kind == "phone":
         return 7 <= digits <= 15 and not any(c.isalpha() for c in text)
@@ -332,7 +446,9 @@ class Finder:
     """Spans of texts by a trained field."""
 
     def __init__(self, field: Field):
-        self.field, self.known = field, {}
+        self.field = field
+        self.classes: dict[str, int] = {"edge": 0}
+        self._clear()
         # A line of plain tokens only: if at every one of them O gains most whatever its neighbours and the labels
         # beside it, the best path is all O, and the line needs no decoding.
         plain = field.emission("a")[0]
@@ -341,63 +457,103 @@ class Finder:
         step = max((field.moves - field.moves[:1, :1])[:, 1:].max(), (field.starts - field.starts[0])[1:].max(), (field.moves[1:, 0] - field.moves[0, 0]).max())
         self.skip_plain = bool(lead + 2 * max(step, 0.0) <= 0)
 
-    def emission(self, token: str) -> tuple[np.ndarray, str]:
-        if len(self.known) >= CACHE_WORDS:
-            self.known.clear()
-        if token not in self.known:
-            self.known[token] = self.field.emission(token)
-        return self.known[token]
+    def _clear(self) -> None:
+        """Forget all tokens."""
+        self.known: dict[str, int] = {}
+        self.own, self.kind = np.zeros((1024, len(self.field.labels))), np.zeros(1024, np.int32)
+
+    def _row(self, token: str) -> int:
+        at = len(self.known)
+        if at == len(self.own):
+            self.own, self.kind = np.vstack([self.own, np.zeros_like(self.own)]), np.append(self.kind, np.zeros_like(self.kind))
+        self.own[at], coarse = self.field.emission(token)
+        self.kind[at] = self.classes.setdefault(coarse, len(self.classes))
+        self.known[token] = at
+        return at
 
     def emissions(self, tokens: list[str]) -> np.ndarray:
-        pairs = [self.emission(t) for t in tokens]
-        classes = ["edge", *(c for _, c in pairs), "edge"]
-        return np.array([e + self.field.beside("<", classes[i]) + self.field.beside(">", classes[i + 2]) for i, (e, _) in enumerate(pairs)])
+        """Tokens x labels: what a token's own features and its neighbours' classes say."""
+        if len(self.known) >= CACHE_WORDS:
+            self._clear()
+        rows = np.fromiter((self.known[t] if t in self.known else self._row(t) for t in tokens), np.int64, len(tokens))
+        kinds = np.zeros(len(tokens) + 4, np.int32)  # two edges on either side
+        kinds[2:-2] = self.kind[rows]
+        out = self.own[rows]
+        for side, d in FAR_SIDES:
+            table = np.array([self.field.beside(side, c) for c in self.classes])
+            out = out + table[kinds[2 + d : len(kinds) - 2 + d]]
+        return out
 
-    def added(self, texts: list[str], taken: list[list[tuple[str, int, int]]]) -> list[list[tuple[str, int, int]]]:
-        """Spans that the field adds to those taken; none overlaps a taken one."""
-        lines, where = [], []
+    def _lines(self, texts: list[str], wanted) -> Iterator[tuple[list, list]]:
+        """(words of lines, their text and offset and line) in groups of bounded size."""
+        lines, where, size = [], [], 0
         for i, text in enumerate(texts):
             at = 0
             for line in text.split("\n"):
-                if (not self.skip_plain or _TELLING.search(line)) and (words := line.split()):
+                if wanted(line) and (words := line.split()):
                     lines.append(words), where.append((i, at, line))
+                    size += len(words)
+                    if size >= VITERBI_CELLS:
+                        yield lines, where
+                        lines, where, size = [], [], 0
                 at += len(line) + 1
+        if lines:
+            yield lines, where
+
+    def _runs(self, texts: list[str], wanted) -> Iterator[tuple[int, int, str, str, int, int]]:
+        """(text, offset of its line, line, label, start, end) of tokens on end with one label but O."""
+        for lines, where in self._lines(texts, wanted):
+            paths = viterbi([self.emissions(w) for w in lines], self.field.moves, self.field.starts)
+            for words, path, (i, at, line) in zip(lines, paths, where, strict=True):
+                if not path.any():
+                    continue
+                spans, pos = [], 0
+                for w in words:
+                    a = line.index(w, pos)
+                    pos = a + len(w)
+                    spans.append((a, pos))
+                t = 0
+                while t < len(path):
+                    e = t
+                    while e < len(path) and path[e] == path[t]:
+                        e += 1
+                    label = self.field.labels[path[t]]
+                    if label != "O":
+                        for a, b in [(t, e)] if label in ("phone", "card") else [(j, j + 1) for j in range(t, e)]:
+                            yield i, at, line, label, spans[a][0], spans[b - 1][1]
+                    t = e
+
+    def added(self, texts: list[str], taken: list[list[tuple[str, int, int]]]) -> list[list[tuple[str, int, int]]]:
+        """Spans that the field adds to those taken; none overlaps a taken one."""
         out: list[list] = [[] for _ in texts]
-        paths = viterbi([self.emissions(w) for w in lines], self.field.moves, self.field.starts) if lines else []
-        for words, path, (i, at, line) in zip(lines, paths, where, strict=True):
-            if not path.any():
-                continue
-            spans, pos = [], 0
-            for w in words:
-                a = line.index(w, pos)
-                pos = a + len(w)
-                spans.append((a, pos))
-            t = 0
-            while t < len(path):
-                e = t
-                while e < len(path) and path[e] == path[t]:
-                    e += 1
-                if path[t]:
-                    groups = [(t, e)] if LABELS[path[t]] in ("phone", "card") else [(j, j + 1) for j in range(t, e)]
-                    for a, b in groups:
-                        start, end = spans[a][0], spans[b - 1][1]
-                        while start < end and line[start] in ".,;:!?\"'|*$%&#[]{}<>":
-                            start += 1
-                        while start < end and line[end - 1] in ".,;:!?\"'|*$%&#[]{}<>":
-                            end -= 1
-                        kind, found = LABELS[path[t]], line[start:end]
-                        near = [(x - at - start, y - at - start) for _, x, y in taken[i] if x < at + end and at + start < y]
-                        if _plausible(kind, found) and not near:
-                            out[i].append((kind, at + start, at + end))
-                        elif kind in ("phone", "card"):
-                            out[i] += [(kind, at + start + x, at + start + y) for x, y in _split(kind, found, near)]
-                t = e
+        for i, at, line, kind, start, end in self._runs(texts, lambda line: not self.skip_plain or _TELLING.search(line)):
+            while start < end and line[start] in ".,;:!?\"'|*$%&#[]{}<>":
+                start += 1
+            while start < end and line[end - 1] in ".,;:!?\"'|*$%&#[]{}<>":
+                end -= 1
+            found = line[start:end]
+            near = [(x - at - start, y - at - start) for _, x, y in taken[i] if x < at + end and at + start < y]
+            if _plausible(kind, found) and not near:
+                out[i].append((kind, at + start, at + end))
+            elif kind in ("phone", "card"):
+                out[i] += [(kind, at + start + x, at + start + y) for x, y in _split(kind, found, near)]
+        return out
+
+    def secrets(self, texts: list[str], taken: list[list[tuple[str, int, int]]]) -> list[list[tuple[str, int, int]]]:
+        """Values that a field of secrets labels, outside the spans taken.  A line without a long mixed value has none."""
+        out: list[list] = [[] for _ in texts]
+        for i, at, line, kind, start, end in self._runs(texts, lambda line: _VALUE.search(line) and _TELLING.search(line)):
+            value = _value_of(line[start:end])
+            if value:
+                a, b = at + start + value[0], at + start + value[1]
+                if not any(x < b and a < y for _, x, y in taken[i]):
+                    out[i].append((kind, a, b))
         return out
 
 
 def join_spans(spans: list[tuple[str, int, int]]) -> str:
     """kind:start:end by kind as listed, then start, comma-joined."""
-    return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (KINDS.index(s[0]), s[1], s[2])))
+    return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (ALL_KINDS.index(s[0]), s[1], s[2])))
 
 
 def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
@@ -410,28 +566,36 @@ def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
     return "".join([*out, text[last:]])
 
 
-def find(docs: DataFrame, field: Field | None = None, text_col: str = "text") -> DataFrame:
+def fit_secrets(**options) -> Field:
+    """The field of secrets, on its made table."""
+    return fit(secret_table(), labels=SECRET_LABELS, of=secret_features, sides=FAR_SIDES, **options)
+
+
+def find(docs: DataFrame, field: Field | None = None, text_col: str = "text", secrets: Field | None = None) -> DataFrame:
     """docs with pii_base and pii_added (arrays of kind, start, end in code points) and pii_redacted.
 
     Whole texts; null counts as empty and its redacted text stays null.
     Base spans come by kind, then start, and always stay; added ones never
-    overlap them.  Clashing columns of docs are replaced; no row is dropped.
+    overlap them, nor added secrets the other added ones.  At equal scores of
+    two paths the label listed first wins.  Clashing columns of docs are
+    replaced; no row is dropped.
     """
-    field = field or fit(labelled_table())
-    small_batches(docs.sparkSession)
+    field, secrets = field or fit(labelled_table()), secrets or fit_secrets()
     new = {"pii_base", "pii_added", "pii_redacted"}
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in new])
     at = docs.columns.index(text_col)
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches):
-        finder = Finder(field)
+        finder, hidden = Finder(field), Finder(secrets)
         rows = lambda found: pa.array([[{"kind": k, "start": a, "end": b} for k, a, b in f] for f in found], span)
-        for batch in batches:
+        for batch in text_slices(batches, at):
             texts = batch.column(at).to_pylist()
             whole = [t or "" for t in texts]
             base = [base_spans(t) for t in whole]
             added = finder.added(whole, base)
+            taken = [b + a for b, a in zip(base, added, strict=True)]
+            added = [a + h for a, h in zip(added, hidden.secrets(whole, taken), strict=True)]
             clean = [None if t is None else redact(t, b + a) for t, b, a in zip(texts, base, added, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, rows(base), rows(added), pa.array(clean, pa.string())], names=[*batch.schema.names, "pii_base", "pii_added", "pii_redacted"])
 

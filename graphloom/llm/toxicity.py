@@ -18,13 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_WORDS, small_batches
+from .common import CACHE_WORDS, text_slices
 
 SENTENCE = re.compile(r"[^.!?\n]+")
 #: Letters at a word's start that are features besides the word.
 STARTS = (4, 5, 6)
-#: Hash cells in which features are counted before the telling ones are kept by name.
-CELLS = 1 << 22
+#: Hash cells in which features are counted before the telling ones are kept by name, and how many are weighed at once.
+CELLS, CELL_BLOCK = 1 << 22, 1 << 16
 
 
 def features(chunk: str) -> list[str]:
@@ -95,15 +95,17 @@ def fit(texts: list[str], labels: list[int], least_gain: float = 16.0, epochs: i
         return {f for c in set(text.lower().split()) for f in features(c)}
 
     # First by hash cells, in arrays of fixed size; then the features of telling cells by name.
-    cells = np.zeros((2, CELLS))
+    cells, open_ = np.zeros((2, CELLS), np.int32), np.empty(CELLS, bool)
     for text, label in zip(texts, labels, strict=True):
         hit = np.fromiter((zlib.crc32(f.encode()) % CELLS for f in of_document(text)), np.int64)
         cells[label, np.unique(hit)] += 1
-    open_ = (cells.sum(0) >= 3) & (gain(cells) >= least_gain / 2)
+    for at in range(0, CELLS, CELL_BLOCK):
+        block = cells[:, at : at + CELL_BLOCK]
+        open_[at : at + CELL_BLOCK] = (block.sum(0) >= 3) & (gain(block) >= least_gain / 2)
     seen = [Counter(), Counter()]
     for text, label in zip(texts, labels, strict=True):
         seen[label].update(f for f in of_document(text) if open_[zlib.crc32(f.encode()) % CELLS])
-    del cells
+    del cells, open_
     names = sorted(seen[0] | seen[1])
     counts = np.array([[s[f] for f in names] for s in seen], float).reshape(2, -1)
     good = (counts.sum(0) >= 3) & (gain(counts) >= least_gain)
@@ -146,16 +148,17 @@ def train(docs: DataFrame, labels: DataFrame, rows_per_label: int = 1500, longes
 
     Documented bounds: these rows, and texts up to ``longest`` characters, so
     the sample fits the driver.  Rows for which :func:`held_out` holds, null
-    ids and null labels teach nothing; of several labels of an id the largest counts.
+    ids and null labels teach nothing; of several labels of an id the largest
+    counts, of several texts of an id the least; equal hashes go by id.
     """
     labels = labels.where("doc_id is not null and toxic is not null").where(~held_out()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("__y"))
     picked = [r for y in (0, 1) for r in labels.where(F.col("__y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows_per_label).collect()]
     if not picked:
         return fit([], [], **options)
-    spark = docs.sparkSession
-    bounded = spark.createDataFrame([(r["doc_id"], r["__y"]) for r in picked], "__id long, __y int")
-    rows = docs.where(F.length("text") <= longest).join(F.broadcast(bounded), docs["doc_id"] == F.col("__id")).select("__id", "text", "__y").orderBy("__id").limit(4 * rows_per_label).collect()
-    return fit([r["text"] for r in rows], [r["__y"] for r in rows], **options)
+    bounded = docs.sparkSession.createDataFrame([(r["doc_id"], r["__y"]) for r in picked], "__id long, __y int")
+    found = docs.where(F.length("text") <= longest).join(F.broadcast(bounded), docs["doc_id"] == F.col("__id"))
+    rows = sorted(found.groupBy("__id").agg(F.min("text").alias("text"), F.first("__y").alias("y")).collect(), key=lambda r: r["__id"])
+    return fit([r["text"] for r in rows], [r["y"] for r in rows], **options)
 
 
 def score(docs: DataFrame, model: ToxicModel, threshold: float = 0.7, offending: float = 0.5) -> DataFrame:
@@ -165,7 +168,6 @@ def score(docs: DataFrame, model: ToxicModel, threshold: float = 0.7, offending:
     with at least ``offending``.  Null and empty texts score as one empty
     sentence.  Clashing columns of docs are replaced; no row is dropped.
     """
-    small_batches(docs.sparkSession)
     out = {"score", "predicted", "offending"}
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in out])
     at = docs.columns.index("text")
@@ -173,7 +175,7 @@ def score(docs: DataFrame, model: ToxicModel, threshold: float = 0.7, offending:
 
     def run(batches):
         of = model.scorer()
-        for batch in batches:
+        for batch in text_slices(batches, at):
             scores, found = [], []
             for text in batch.column(at).to_pylist():
                 value, spans, p = of(text)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import text_slices
 
 # Fixed values of ISO/IEC 13818-1.
 PACKET, SYNC, PAT_PID, NULL_PID = 188, 0x47, 0, 0x1FFF
@@ -111,20 +111,29 @@ class Stream:
 
 
 def _sections(payloads: list[bytes], starts: list[bool], faults: dict) -> list[bytes]:
-    data = b""
+    """Sections with a right checksum.
+
+    Each packet with a unit start says where its first new section begins: what
+    is before that ends the section under way, and reading goes on there, so a
+    broken section costs itself only.
+    """
+    out, runs, data = [], [], None
     for payload, start in zip(payloads, starts, strict=True):
         if start and payload:
-            data += payload[1 + payload[0] :]
-        elif data:
+            at = 1 + payload[0]
+            if data is not None:
+                runs.append(data + payload[1:at])
+            data = payload[at:]
+        elif data is not None:
             data += payload
-    out = []
-    while len(data) >= 3 and data[0] != 0xFF:
-        size = 3 + ((data[1] & 0x0F) << 8 | data[2])
-        section, data = data[:size], data[size:]
-        if len(section) < size or crc32_mpeg(section):
-            faults["table"] += 1
-        else:
-            out.append(section)
+    for run in [*runs, *([data] if data is not None else [])]:
+        while run and run[0] != 0xFF:
+            size = 3 + ((run[1] & 0x0F) << 8 | run[2]) if len(run) >= 3 else len(run) + 1
+            section, run = run[:size], run[size:]
+            if len(section) < size or crc32_mpeg(section):
+                faults["table"] += 1
+            elif section not in out:  # tables are sent again and again
+                out.append(section)
     return out
 
 
@@ -176,12 +185,12 @@ def demux(stream: bytes | None) -> Stream:
                 out.faults["unit"] += 1
                 continue
             size = unit[4] << 8 | unit[5]
-            if size and size + 6 != len(unit):
+            if size and size + 6 != len(unit):  # a longer unit is cut to its size
                 out.faults["unit"] += 1
             pts = None
             if unit[7] & 0x80 and len(unit) >= 14:
                 pts = (unit[9] & 0xE) << 29 | unit[10] << 22 | (unit[11] & 0xFE) << 14 | unit[12] << 7 | unit[13] >> 1
-            body = unit[9 + unit[8] :]
+            body = unit[9 + unit[8] : size + 6 if size else None]
             out.units.append({"pid": int(media), "pts": pts, "offset": offset, "length": len(body), "random_access": bool(access[at[i]]), "packet": int(at[i])})
             payload.append(body)
             offset += len(body)
@@ -215,13 +224,12 @@ PROGRAMS = "array<struct<program:int,pmt_pid:int,pid:int,stream_type:int>>"
 
 
 def _extended(df: DataFrame, at: str, new: list[tuple[str, str, pa.DataType]], of) -> DataFrame:
-    small_batches(df.sparkSession)
     names = {n for n, _, _ in new}
     df = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in names])
     index = df.columns.index(at)
 
     def run(batches):
-        for batch in batches:
+        for batch in text_slices(batches, index):
             rows = [of(v) for v in batch.column(index).to_pylist()]
             columns = [pa.array([r[i] for r in rows], t) for i, (_, _, t) in enumerate(new)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *(n for n, _, _ in new)])

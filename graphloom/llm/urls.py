@@ -3,9 +3,14 @@
 The tree is built level by level from counts of distinct paths: a segment with
 digits, or a rare one under a node with many children, becomes a wildcard.
 From the deepest level up, siblings (templates that differ in one segment)
-whose labelled rates do not differ significantly merge.  A template is rejected if its labelled purity, smoothed towards its host's and
-the whole table's, is high enough.  Only counts are shuffled per level; no
-host's rows ever meet in one task.
+whose labelled rates do not differ significantly merge.
+
+The evidence on a template is its labelled pages on the host; where there are
+none, those of the same template on the parent domain, else on all hosts.  Its
+purity is smoothed the same way: the rate of all hosts towards that of the
+table, the domain's towards that, the host's towards the domain's.  A template
+is rejected if its purity is high enough.  Only counts are shuffled per level;
+no host's rows ever meet in one task.
 """
 
 from __future__ import annotations
@@ -15,6 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..catalog import small
 from .common import materialize, release
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -22,6 +28,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 FANOUT, COMMON = 12, 0.05
 #: Standard errors within which siblings count as similar; pseudo-count of the parent's rate; purity of a rejected template.
 SIMILAR, PSEUDO, PURE = 2.0, 4.0, 0.6
+#: Labelled pages from which on two groups of siblings can differ.
+LEAST = 4
 
 
 @dataclass(frozen=True)
@@ -90,6 +98,7 @@ def template_tree(paths: DataFrame, fanout: int = FANOUT, common: float = COMMON
 def sibling_names(names: list[str], labelled: list[int], bad: list[int], similar: float = SIMILAR) -> list[str]:
     """New names of a node's children: nearest labelled groups merge while their rates do not differ significantly.
 
+    A difference counts only if both groups together have LEAST labelled pages.
     One group of all is *; a smaller one names its members, or is * if it holds
     the wildcard.  Unlabelled children go to *.
     """
@@ -100,7 +109,7 @@ def sibling_names(names: list[str], labelled: list[int], bad: list[int], similar
             (_, m, a), (_, n, b) = groups[i : i + 2]
             rate = (a + b) / (m + n)
             error = (rate * (1 - rate) * (1 / m + 1 / n)) ** 0.5
-            return (b / n - a / m) / error if error and b / n > a / m else 0.0
+            return (b / n - a / m) / error if error and b / n > a / m and m + n >= LEAST else 0.0
 
         at = min(range(len(groups) - 1), key=apart)
         if apart(at) > similar:
@@ -114,8 +123,28 @@ def sibling_names(names: list[str], labelled: list[int], bad: list[int], similar
     return [new[n] for n in names]
 
 
+def domain_of(host: Column) -> Column:
+    """The host without its first label, if at least two are left; else the host itself."""
+    return F.when(F.size(F.split(host, r"\.")) > 2, F.regexp_replace(host, r"^[^.]*\.", "")).otherwise(host)
+
+
+def with_evidence(leaves: DataFrame) -> DataFrame:
+    """leaves (host, template, labelled, bad) with the counts of the same template on the parent domain (d_) and on all hosts (a_).
+
+    ``e_labelled`` and ``e_bad`` are those of the first of the three that has any.
+    """
+    leaves = leaves.withColumn("domain", domain_of(F.col("host")))
+    sums = lambda p: [F.sum(c).alias(f"{p}_{c}") for c in ("labelled", "bad")]
+    domains = leaves.groupBy("domain", "template").agg(*sums("d"))
+    everywhere = domains.groupBy("template").agg(*[F.sum(f"d_{c}").alias(f"a_{c}") for c in ("labelled", "bad")])
+    domains = domains.join(small(everywhere), "template")
+    out = leaves.join(small(domains), ["domain", "template"])
+    first = lambda c: F.when(F.col("labelled") > 0, F.col(c)).when(F.col("d_labelled") > 0, F.col(f"d_{c}")).otherwise(F.col(f"a_{c}"))
+    return out.withColumns({"e_labelled": first("labelled"), "e_bad": first("bad")}).drop("domain")
+
+
 def merge_siblings(leaves: DataFrame, levels: int, similar: float = SIMILAR) -> DataFrame:
-    """leaves (host, template, labelled, bad) with merged, from the deepest shared level up.
+    """leaves (host, template, e_labelled, e_bad) with merged, from the deepest shared level up.
 
     Siblings agree in all segments but that of the level.  A node has at most
     FANOUT literal children, or 1 / COMMON of them, so its list is short.
@@ -126,7 +155,7 @@ def merge_siblings(leaves: DataFrame, levels: int, similar: float = SIMILAR) ->
     for level in range(levels - 1, -1, -1):
         keyed = now.select("*", F.slice("segs", 1, level).alias("__head"), F.get("segs", F.lit(level)).alias("seg"), F.expr(f"slice(segs, {level + 2}, greatest(size(segs) - {level + 1}, 0))").alias("__tail"))
         key = ["host", "__head", "__tail"]
-        child = keyed.where("seg is not null").groupBy(*key, "seg").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
+        child = keyed.where("seg is not null").groupBy(*key, "seg").agg(F.sum("e_labelled").alias("labelled"), F.sum("e_bad").alias("bad"))
         nodes = child.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("seg", "labelled", "bad"))).alias("found")).where(F.size("found") > 1)
         named = nodes.select(*key, F.explode(rename("found")).alias("new")).select(*key, F.col("new.seg").alias("seg"), F.col("new.name").alias("__name"))
         grown = keyed.join(named, [*key, "seg"], "left")
@@ -150,19 +179,19 @@ def judge(pages: DataFrame, id_col: str, url_col: str, rules: list[Rule], label:
     parsed = apply_rules(parsed, rules)
     label = label if label is not None else F.when(F.col("rule_verdict") == "block", 1).when(F.col("rule_verdict") == "allow", 0)
     counts = parsed.withColumn("__y", label.cast("int")).groupBy("host", "path").agg(F.count("*").alias("n"), F.count("__y").alias("labelled"), F.coalesce(F.sum("__y"), F.lit(0)).cast("long").alias("bad"))
-    tree, _, levels = template_tree(counts)
+    tree, tree_path, levels = template_tree(counts)
 
-    sums = [F.sum(c).alias(c) for c in ("n", "labelled", "bad")]
-    leaves = tree.groupBy("host", "template").agg(*sums)
-    leaves = merge_siblings(leaves, levels, similar)
-    merged = leaves.groupBy("host", "merged").agg(F.sum("labelled").alias("m_labelled"), F.sum("bad").alias("m_bad"))
-    hosts = leaves.groupBy("host").agg(F.sum("labelled").alias("h_labelled"), F.sum("bad").alias("h_bad"))
-    whole = counts.agg(F.sum("labelled"), F.sum("bad")).first()
+    whole = tree.agg(F.sum("labelled"), F.sum("bad")).first()
     base = float(whole[1] or 0) / whole[0] if whole[0] else 0.0
-    host_rate = (F.col("h_bad") + pseudo * base) / (F.col("h_labelled") + pseudo)  # pseudo > 0
-    purity = (F.col("m_bad") + pseudo * host_rate) / (F.col("m_labelled") + pseudo)
-    rated = leaves.select("host", "template", "merged").join(merged, ["host", "merged"]).join(hosts, "host").select("host", "template", "merged", purity.alias("purity"))
-    by_path = tree.select("host", "path", "template").join(rated, ["host", "template"]).select("host", "path", F.col("merged").alias("template"), "purity")
-    out = parsed.join(by_path, ["host", "path"])
+    leaves = with_evidence(tree.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")))
+    leaves = merge_siblings(leaves, levels, similar)
+    levels_of = [("a_", F.lit(base)), ("d_", F.col("a_rate")), ("", F.col("d_rate"))]
+    merged = leaves.groupBy("host", "merged").agg(*[F.sum(f"{p}{c}").alias(f"{p}{c}") for p, _ in levels_of for c in ("labelled", "bad")])
+    for p, towards in levels_of:
+        merged = merged.withColumn(f"{p}rate", (F.col(f"{p}bad") + pseudo * towards) / (F.col(f"{p}labelled") + pseudo))  # pseudo > 0
+    rated, _ = materialize(leaves.select("host", "template", "merged").join(merged.select("host", "merged", F.col("rate").alias("purity")), ["host", "merged"]), "rated")
+    by_path, _ = materialize(tree.select("host", "path", "template").join(small(rated), ["host", "template"]).select("host", "path", F.col("merged").alias("template"), "purity"), "by_path")
+    release(pages.sparkSession, tree_path)
+    out = parsed.join(small(by_path), ["host", "path"])
     own_verdict = F.when(F.col("purity") >= pure, "block").otherwise("allow")
     return out.select(F.col(id_col), "host", "path", "rule", F.coalesce("rule_verdict", own_verdict).alias("verdict"), "template", "purity")

@@ -418,3 +418,142 @@ def test_pipeline_stages(spark):
     mixed = cp.mix_languages(spark, hidden, SF)
     assert mixed.columns == columns and {r["doc_id"] for r in mixed.collect()} == {r["doc_id"] for r in hidden.collect()}
     assert sum(p["length"] for p in cp.pack_windows(spark, mixed, SF).collect()) > 0
+
+
+# Bounds that batches, partitions and long values must not move -------------------
+def test_nearest_does_not_depend_on_batches_or_partitions(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    got = []
+    for rows, parts in ((10_000, 1), (64, 7)):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+        v = table.repartition(parts, "vec_id")
+        got.append(sorted(map(tuple, ann.search(ann.build_index(v, k=32, m=4), v.where("vec_id % 100 = 0"), group=50, probes=0.5).collect())))
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got[0] and [r[:2] for r in got[0]] == [r[:2] for r in got[1]]
+
+
+def test_nearest_query_has_recall_on_the_table(spark):
+    sf = "/root/testdata/sf0.1"
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").collect()
+    ids, x = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], float)
+    found = {}
+    for r in Q["op3_nearest"](spark, sf).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = 0
+    for q, near in found.items():
+        d = np.sqrt(((x - x[ids == q][0]) ** 2).sum(1))
+        d[ids == q] = np.inf
+        hits += len(near & set(ids[np.lexsort((ids, d))[:10]].tolist()))
+    assert sorted(found) == sorted(i for i in ids if i % 100 == 0) and hits / (10 * len(found)) >= 0.9
+
+
+def test_nearest_keeps_double_vectors(spark):
+    x = [[1.0 + 1e-9 * i, 2.0] for i in range(30)]
+    df = spark.createDataFrame(list(enumerate(x)), "vec_id long, embedding array<double>")
+    got = ann.search(ann.build_index(df), df.where("vec_id = 0")).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == list(range(1, 11)) and abs(got[0]["score"] - 1e-9) < 1e-13
+
+
+def test_layout_bounds_groups():
+    places = ann.layout({0: 5, 1: 90, 2: 250, 3: 20, 4: 7}, 100)
+    assert places == {0: (0, 1), 1: (0, 1), 3: (1, 1), 4: (1, 1), 2: (2, 3)} and ann.layout({}) == {}
+
+
+def test_pages_of_one_key_keep_the_limit(spark):
+    r = random.Random(3)
+    rows = [(1, "x" * r.choice([0, 10, 100, 300, 900, 1500])) for _ in range(300)] + [(2, "y" * 2770)] * 3 + [(None, "z" * 100)] * 50
+    held = {}
+    for x in sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", F.octet_length("text"), 2000).collect():
+        held.setdefault(x["shard"], []).append(x["n_bytes"])
+    assert sum(map(len, held.values())) == len(rows)
+    assert all(sum(v) <= 2000 or v == [2770] for v in held.values())
+    assert sum(len(v) == 20 for v in held.values() if v[0] == 100) >= 2 and len(held) < 2.5 * sum(map(sum, held.values())) / 2000
+
+
+def test_lost_first_table_costs_itself_only():
+    rows = np.frombuffer(transport.mux(b"abc" * 5000), np.uint8).reshape(-1, 188)
+    broken = rows[0].copy()
+    broken[8] ^= 1
+    s = transport.demux(np.vstack([broken[None], rows[:1], rows[1:2], rows[1:]]).tobytes())
+    assert s.payload == b"abc" * 5000 and s.faults["table"] == 1 and len(s.programs) == 1
+
+
+def test_secrets_are_found_and_digests_left():
+    finder = pii.Finder(pii.fit_secrets())
+    secret, digest = "04dbebab91ab85687d33eeaaf9ac699e1188f962", "f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda"
+    text = f'der token = "{secret}" und\ncommit {digest} of 2024-01-02\nTOKEN = "{secret.upper()}"!! x\napi_key={secret} see https://a.bc/{digest}'
+    assert [text[a:b] for _, a, b in finder.secrets([text], [[]])[0]] == [secret, secret.upper(), secret]
+    assert finder.secrets([text], [[("card", 0, len(text))]]) == [[]]
+    test = pii.secret_table(150, seed=77)
+    paths = pii.viterbi([finder.emissions([t for t, _ in row]) for row in test], finder.field.moves, finder.field.starts)
+    cells = [(pii.SECRET_LABELS[q], y) for row, path in zip(test, paths, strict=True) for (_, y), q in zip(row, path, strict=True)]
+    assert sum(a == b for a, b in cells) / len(cells) > 0.98
+
+
+def test_long_lines_are_decoded_alone():
+    finder = pii.Finder(pii.fit(pii.labelled_table(60), epochs=30))
+    long = "ab 12 " * 60_000 + "call (377) 555-0271 now"
+    whole = finder.added([long, "call (377) 555-0271 now"] + ["x 1"] * 200, [[]] * 202)
+    assert [long[a:b] for _, a, b in whole[0][-1:]] == ["(377) 555-0271"] and len(whole[1]) == 1
+
+
+def test_encoders_are_held_against_each_other():
+    tokens = packing.Tokens(TOKENIZER)
+    tokens.verify()
+
+    class Other:
+        encode_ordinary = staticmethod(lambda t: [1])
+
+    tokens.ranks = Other()
+    with pytest.raises(ValueError):
+        tokens.verify()
+
+
+def test_templates_back_off_to_other_hosts(spark):
+    rows = [(f"http://h{i}.com/{'bad' if i % 2 else 'good'}/{i}", i % 2) for i in range(20)]
+    free = ["http://new.net/bad/77", "http://new.net/good/78", "http://sub.h1.com/bad/79"]
+    pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(rows)] + [(100 + i, u) for i, u in enumerate(free)], "page_id long, url string")
+    label = F.when(F.col("host").rlike(r"^h[0-9]+\.com"), F.col("path").startswith("/bad").cast("int"))
+    got = {r["page_id"]: r for r in urls.judge(pages, "page_id", "url", [], label).collect()}
+    assert [got[100 + i]["verdict"] for i in range(3)] == ["block", "allow", "block"]
+
+
+def test_template_verdicts_match_a_plain_tree(spark):
+    """Counts, back-off and smoothing of templates that neither widen nor merge, in plain Python."""
+    r = random.Random(12)
+    seen = [(f"{h}.{d}.org", f"/{s}") for h in "ab" for d in ("x", "y") for s in ("p", "q", "r") for _ in range(r.randint(1, 9))]
+    labels = [r.choice([0, 1, None]) for _ in seen]
+    pages = spark.createDataFrame([(i, f"http://{h}{p}?{'bad' if y else 'ok' if y == 0 else ''}", y) for i, ((h, p), y) in enumerate(zip(seen, labels, strict=True))], "page_id long, url string, y int")
+    by_page = F.create_map(*[F.lit(x) for i, y in enumerate(labels) for x in (i, y if y is not None else -1)])
+    label = F.when(by_page[F.col("page_id").cast("int")] >= 0, by_page[F.col("page_id").cast("int")])
+    got = urls.judge(pages, "page_id", "url", [], label, similar=-1.0).collect()
+
+    def counts(match):
+        ys = [y for (h, p), y in zip(seen, labels, strict=True) if match(h, p) and y is not None]
+        return len(ys), sum(ys)
+
+    n, bad = counts(lambda h, p: True)
+    base = bad / n
+    for row in got:
+        if row["template"] != row["path"]:
+            continue  # merged with a sibling for lack of evidence
+        rate = base
+        for match in (lambda h, p: True, lambda h, p: h.split(".", 1)[1] == row["host"].split(".", 1)[1], lambda h, p: h == row["host"]):
+            n, bad = counts(lambda h, p, m=match: m(h, p) and p == row["path"])
+            rate = (bad + urls.PSEUDO * rate) / (n + urls.PSEUDO)
+        assert abs(row["purity"] - rate) < 1e-9 and row["verdict"] == ("block" if rate >= urls.PURE else "allow")
+
+
+@pytest.mark.parametrize("name", ["toxicity", "pii", "transport", "mixing", "neardup", "packing"])
+def test_very_long_texts(spark, name):
+    text = "one two three 4 five. " * 250_000
+    df = spark.createDataFrame([(1, text), (2, "short")], "doc_id long, text string")
+    run = {
+        "toxicity": lambda: __import__("graphloom.llm.toxicity", fromlist=["x"]).score(df, __import__("graphloom.llm.toxicity", fromlist=["x"]).ToxicModel({}, -4.0)).select("score"),
+        "pii": lambda: pii.find(df).select(F.size("pii_added")),
+        "transport": lambda: transport.read(transport.store(df).drop("text")).select("n_bytes"),
+        "mixing": lambda: mixing.with_membership(df, mixing.fit_domains(["one two", "five three"], ["a", "b"])).select("tokens"),
+        "neardup": lambda: __import__("graphloom.llm.neardup", fromlist=["x"]).near_duplicates(df).select("n_shingles"),
+        "packing": lambda: packing.pack(df, TOKENIZER, with_ids=False).where("start = 0 or doc_id = 2").select("length"),
+    }[name]
+    assert run().count() == 2
