@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import math
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,15 +31,28 @@ SCALAR_FIELDS = ("temp", "voltage", "current", "velocity", "speed", "rpm", "forc
 TIMESTAMPS = (r"\[(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?)\]", r"^(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?)", r"\[(\d+\.\d+)\]")
 
 
+def once(value: Column, use) -> Column:
+    """use(value) with the value computed once per row, however often ``use`` names it.
+
+    A plain Column is an expression: named twice in a condition or a lambda, it
+    is evaluated twice.
+    """
+    return F.transform(F.array(value), use)[0]
+
+
 def log_class(line: Column) -> Column:
-    """[T4, W8] struct(kind, severity, keep_full) of the first pattern in the line, else null."""
-    out = None
-    for pattern, *values in LOG_PATTERNS:
-        found = F.struct(F.lit(values[0]).alias("kind"), F.lit(values[1]).alias("severity"), F.lit(values[2]).alias("keep_full"))
-        out = F.when(line.rlike(pattern), found) if out is None else out.when(line.rlike(pattern), found)
+    """[T4, W8] Number of the first pattern in the line, else null."""
+    out = F.when(line.rlike(LOG_PATTERNS[0][0]), 0)
+    for i, (pattern, *_) in enumerate(LOG_PATTERNS[1:], 1):
+        out = out.when(line.rlike(pattern), i)
     return out
 
 
+def class_value(number: Column, which: int) -> Column:
+    """Of a pattern by number: 1 its kind, 2 its severity, 3 whether the full line is kept."""
+    return F.get(F.array(*[F.lit(p[which]) for p in LOG_PATTERNS]), number)
+
+
 def clip(text: Column, full: Column) -> Column:
     """[T5] Text under 4000 (full) or 500 characters stays; longer ones end in three dots."""
     most = F.when(full, 4000).otherwise(500)
@@ -116,14 +134,14 @@ def is_msg_type(key: Column) -> Column:
 
 def set_bits(value: Column) -> Column:
     """[T9] Positions of the set bits, 0 to 63; none for values that are not positive."""
-    return F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: (value > 0) & (F.getbit(value, i) == 1))
+    return once(value, lambda v: F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: (v > 0) & (F.getbit(v, i) == 1)))
 
 
 def human_size(n: Column) -> Column:
     """[T11] Bytes as B, KB, MB, GB or TB with one decimal."""
-    out = F.concat(F.format_number(n / 2.0**40, "0.0"), F.lit(" TB"))
+    out = F.format_string("%.1f TB", n / 2.0**40)
     for power, unit in ((30, "GB"), (20, "MB"), (10, "KB"), (0, "B")):
-        out = F.when(n < 2.0 ** (power + 10), F.concat(F.format_number(n / 2.0**power, "0.0"), F.lit(f" {unit}"))).otherwise(out)
+        out = F.when(n < 2.0 ** (power + 10), F.format_string(f"%.1f {unit}", n / 2.0**power)).otherwise(out)
     return out
 
 
@@ -158,7 +176,26 @@ def is_placeholder(text: Column) -> Column:
     return F.coalesce((F.trim(text) == "") | F.startswith(text, F.lit("MY_")), F.lit(True))
 
 
-def controller(t: Column, amplitude: Column, frequency: Column, phase: Column) -> Column:
-    """[T21, X4] Open-loop sine per joint, clipped to [-1, 1]; amplitude and phase are arrays."""
-    raw = F.zip_with(amplitude, phase, lambda a, p: a * F.sin(2 * 3.141592653589793 * frequency * t + p))
-    return F.transform(raw, lambda x: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x)))
+def controller(t: Column, amplitude: Column, frequency: Column, phase: Column, correction: Column | None = None, scale: Column | None = None) -> Column:
+    """[T21, X4] Sine per joint, with a correction added and scaled if given, clipped to [-1, 1]; all but t, frequency and scale are arrays."""
+    raw = F.zip_with(amplitude, phase, lambda a, p: a * F.sin(2 * math.pi * frequency * t + p))
+    if correction is not None:
+        raw = F.zip_with(raw, correction, lambda x, y: x + y)
+    factor = F.lit(1.0) if scale is None else scale
+    return F.transform(raw, lambda x: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x * factor)))
+
+
+def pd_correction(targets: Column, positions: Column, velocities: Column, kp: Column, kd: Column) -> Column:
+    """[T21] kp times the way to the target less kd times the velocity, per joint."""
+    pull = F.zip_with(targets, positions, lambda q, p: kp * (q - p))
+    return F.zip_with(pull, velocities, lambda x, v: x - kd * v)
+
+
+def policy(function: Callable[[list[float], dict, float], list[float]]):
+    """[X4] A policy as code, (observation, parameters, t) -> action, as a function of columns: array, JSON text, number -> array."""
+
+    def act(observations: pd.Series, parameters: pd.Series, times: pd.Series) -> pd.Series:
+        read = {p: json.loads(p) for p in parameters.unique()}
+        return pd.Series([[float(x) for x in function(list(o), read[p], t)] for o, p, t in zip(observations, parameters, times, strict=True)])
+
+    return F.pandas_udf(act, "array<double>")

@@ -65,6 +65,16 @@ def diffs_by_kind(diffs: DataFrame) -> DataFrame:
     return diffs.groupBy("kind").agg(F.count("*").alias("n"))
 
 
+def tail(events: DataFrame, n: int = 10) -> DataFrame:
+    """[W6] The last n events, in order."""
+    return events.orderBy(F.desc("seq")).limit(n).orderBy("seq")
+
+
+def completed_steps(events: DataFrame) -> DataFrame:
+    """[A21] Distinct steps that ended well, in the order first seen."""
+    return events.where("exit_code = 0 and step <> 'init'").groupBy("step").agg(F.min("seq").alias("first")).orderBy("first")
+
+
 class BuildLog:
     """[D14, K8, W6, A21] Append-only JSON lines beside a pack, and its file snapshot."""
 
@@ -111,8 +121,8 @@ class BuildLog:
 
     def tail(self, n: int = 10) -> DataFrame:
         """[W6]"""
-        return self.events().orderBy(F.desc("seq")).limit(n).orderBy("seq")
+        return tail(self.events(), n)
 
     def completed_steps(self) -> DataFrame:
-        """[A21] Distinct steps that ended well, in the order first seen."""
-        return self.events().where("exit_code = 0 and step <> 'init'").groupBy("step").agg(F.min("seq").alias("first")).orderBy("first")
+        """[A21]"""
+        return completed_steps(self.events())

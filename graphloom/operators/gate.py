@@ -9,14 +9,16 @@ three-valued logic.
 
 from __future__ import annotations
 
+import json
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..catalog import Catalog, prop
+from ..catalog import Catalog, prop, small
 from . import graph
 
 TOKEN = re.compile(
@@ -180,13 +182,72 @@ def _bool(value: Column, err: Column) -> Node:
     return Node(F.lit("bool"), F.coalesce(value, F.lit(False)).cast("double"), F.lit(None).cast("string"), err)
 
 
+def _kind(v: Column, schema: Column) -> Column:
+    return F.when(v.isNull() | F.is_variant_null(v), "null").when(schema == "BOOLEAN", "bool").when(schema == "STRING", "str").when(schema.startswith("ARRAY"), "list").when(schema.startswith("OBJECT"), "dict").otherwise("num")
+
+
+def _num(v: Column, kind: Column) -> Column:
+    return F.when(kind.isin("bool", "num"), F.try_variant_get(v, "$", "double"))
+
+
+def _text(v: Column, kind: Column) -> Column:
+    return F.when(kind == "str", F.try_variant_get(v, "$", "string")).when(kind == "dict", F.to_json(v))
+
+
 def of_variant(v: Column) -> Node:
     """A VARIANT value as a node; SQL null and JSON null are null."""
-    schema = F.schema_of_variant(v)
-    kind = F.when(v.isNull() | F.is_variant_null(v), "null").when(schema == "BOOLEAN", "bool").when(schema == "STRING", "str").when(schema.startswith("ARRAY"), "list").when(schema.startswith("OBJECT"), "dict").otherwise("num")
-    num = F.when(kind.isin("bool", "num"), F.try_variant_get(v, "$", "double"))
-    text = F.when(kind == "str", F.try_variant_get(v, "$", "string")).when(kind == "dict", F.to_json(v))
-    return Node(kind, num, text, F.lit(False), raw=v)
+    kind = _kind(v, F.schema_of_variant(v))
+    return Node(kind, _num(v, kind), _text(v, kind), F.lit(False), raw=v)
+
+
+def reference_of(path: str, params: str = "params", state: str = "state") -> Column:
+    """The VARIANT that @state.a.b or params.x names."""
+    column, _, rest = path.partition(".")
+    return F.try_variant_get(F.col(state if column == "@state" else params), f"$.{rest}", "variant")
+
+
+class Bound(dict):
+    """References whose value, kind, number and text are columns of a table; others are expressions."""
+
+    def node(self, path: str, params: str, state: str) -> Node:
+        if path not in self:
+            return of_variant(reference_of(path, params, state))
+        at = self[path]
+        return Node(F.col(f"__kind{at}"), F.col(f"__num{at}"), F.col(f"__text{at}"), F.lit(False), raw=F.col(f"__value{at}"))
+
+
+def references(tree) -> set[str]:
+    """The references of an expression's tree."""
+    if isinstance(tree, tuple) and len(tree) == 2 and tree[0] == "ref":
+        return {tree[1]}
+    return set().union(*map(references, tree)) if isinstance(tree, tuple | list) else set()
+
+
+def bind(calls: DataFrame, specs: list[dict] = (), preconditions: list = (), params: str = "params", state: str = "state") -> tuple[DataFrame, Bound]:
+    """calls with each reference of the rules read once per row, for the rule functions' ``bound``.
+
+    The columns are made in steps.  As each is named several times by the next
+    step, the optimiser keeps the steps apart instead of repeating their
+    expressions in every rule.
+    """
+    paths = {f"params.{s['name']}" for s in specs or []}
+    for pre in preconditions or []:
+        try:
+            paths |= references(parse(pre if isinstance(pre, str) else pre["expr"]))
+        except GateError:
+            continue
+    bound = Bound({p: i for i, p in enumerate(sorted(paths))})
+    value = lambda i: F.col(f"__value{i}")
+    kind = lambda i: F.col(f"__kind{i}")
+    out = calls.withColumns({f"__value{i}": reference_of(p, params, state) for p, i in bound.items()})
+    out = out.withColumns({f"__schema{i}": F.schema_of_variant(value(i)) for i in bound.values()})
+    out = out.withColumns({f"__kind{i}": _kind(value(i), F.col(f"__schema{i}")) for i in bound.values()})
+    out = out.withColumns({f"__num{i}": _num(value(i), kind(i)) for i in bound.values()} | {f"__text{i}": _text(value(i), kind(i)) for i in bound.values()})
+    return out.drop(*[f"__schema{i}" for i in bound.values()]), bound
+
+
+def unbind(df: DataFrame, bound: Bound) -> DataFrame:
+    return df.drop(*[f"__{name}{i}" for i in bound.values() for name in ("value", "kind", "num", "text")])
 
 
 def _equal(a: Node, b: Node) -> Column:
@@ -302,7 +363,14 @@ PREDICATES = {f.__name__: f for f in (has_object, has_link_from, has_preset_moti
 FUNCTIONS: dict = {}
 
 
-def compile_tree(tree, o: Ontology, params: str = "params", state: str = "state") -> Node:
+def register(name: str, function: Callable[..., Column]) -> None:
+    """[G11, X3] Let expressions call ``function`` as @fn.name(...); it gets a Node per argument and gives a boolean Column, from built-ins or a pandas UDF."""
+    FUNCTIONS[name] = function
+
+
+def compile_tree(tree, o: Ontology, params: str = "params", state: str = "state", bound: Bound | None = None) -> Node:
+    bound = Bound() if bound is None else bound
+
     def go(t) -> Node:
         op = t[0]
         if op == "lit":
@@ -311,8 +379,7 @@ def compile_tree(tree, o: Ontology, params: str = "params", state: str = "state"
             items = [go(x) for x in t[1]]
             return Node(F.lit("list"), F.lit(None).cast("double"), F.lit(None).cast("string"), reduce(lambda c, n: c | n.err, items, F.lit(False)), items=items)
         if op == "ref":
-            column, path = (state, t[1][len("@state.") :]) if t[1].startswith("@state") else (params, t[1][len("params.") :])
-            return of_variant(F.try_variant_get(F.col(column), f"$.{path}", "variant"))
+            return bound.node(t[1], params, state)
         if op == "call":
             args = [go(x) for x in t[2]]
             err = reduce(lambda c, n: c | n.err, args, F.lit(False))
@@ -351,10 +418,10 @@ def compile_tree(tree, o: Ontology, params: str = "params", state: str = "state"
     return go(tree)
 
 
-def evaluate(text: str, o: Ontology | None = None, params: str = "params", state: str = "state") -> Column:
+def evaluate(text: str, o: Ontology | None = None, params: str = "params", state: str = "state", bound: Bound | None = None) -> Column:
     """[G6-G10] PASS, FAIL or EVAL_ERROR of an expression; one that cannot be read is EVAL_ERROR."""
     try:
-        node = compile_tree(parse(text), o or Ontology(), params, state)
+        node = compile_tree(parse(text), o or Ontology(), params, state, bound)
     except GateError:
         return F.lit("EVAL_ERROR")
     return F.when(node.err, "EVAL_ERROR").when(node.truth, "PASS").otherwise("FAIL")
@@ -368,12 +435,12 @@ def _failure(expr, error, severity="error") -> Column:
     return F.struct(as_column(expr).alias("expr"), as_column(error).alias("error"), as_column(severity).alias("severity"))
 
 
-def parameter_failures(specs: list[dict], params: str = "params") -> list[Column]:
+def parameter_failures(specs: list[dict], params: str = "params", bound: Bound | None = None) -> list[Column]:
     """[G2-G5] One nullable failure per rule of the declared parameters."""
-    out = []
+    out, bound = [], Bound() if bound is None else bound
     for spec in specs or []:
         name = spec["name"]
-        v = of_variant(F.try_variant_get(F.col(params), f"$.{name}", "variant"))
+        v = bound.node(f"params.{name}", params, "state")
         given = v.kind != "null"
         shown = F.coalesce(F.try_variant_get(v.raw, "$", "string"), F.lit("null"))
         if spec.get("required"):
@@ -397,12 +464,12 @@ def parameter_failures(specs: list[dict], params: str = "params") -> list[Column
     return out
 
 
-def precondition_failures(preconditions: list, o: Ontology, params: str = "params", state: str = "state") -> list[Column]:
+def precondition_failures(preconditions: list, o: Ontology, params: str = "params", state: str = "state", bound: Bound | None = None) -> list[Column]:
     """[G6-G10] One nullable failure per precondition; one that cannot be evaluated is an error whatever its severity."""
     out = []
     for pre in preconditions or []:
         pre = {"expr": pre} if isinstance(pre, str) else pre
-        verdict = evaluate(pre["expr"], o, params, state)
+        verdict = evaluate(pre["expr"], o, params, state, bound)
         failed = _failure(pre["expr"], pre.get("error") or f"precondition failed: {pre['expr']}", pre.get("severity") or "error")
         out.append(F.when(verdict == "EVAL_ERROR", _failure(pre["expr"], "could not be evaluated")).when(verdict == "FAIL", failed))
     return out
@@ -411,20 +478,26 @@ def precondition_failures(preconditions: list, o: Ontology, params: str = "param
 def check(calls: DataFrame, c: Catalog) -> DataFrame:
     """[G1, G12] calls (robot_id, action_id, params, state) with ok, failures, warnings, summary.
 
-    Each action's rules are compiled once; the batch or stream is read once.  An
-    unknown action is not ok.
+    Actions with the same rules share one compiled rule set, whatever their
+    number; only rules that ask the ontology are compiled per robot.  Calls meet
+    the number of their rule set in a join; the batch or stream is read once and
+    every reference once per row.  An unknown action is not ok.
     """
-    import json
-
+    rows = c.actions.select("robot_id", "id", F.to_json("parameters").alias("p"), F.to_json("preconditions").alias("e")).collect()
+    sets: dict[tuple, int] = {}
+    number = [(r["robot_id"], r["id"], sets.setdefault((r["p"], r["e"], r["robot_id"] if "@ontology" in (r["e"] or "") else None), len(sets))) for r in rows]
+    loaded = {key: (json.loads(key[0] or "null") or [], json.loads(key[1] or "null") or []) for key in sets}
+    calls_, bound = bind(calls, [s for p, _ in loaded.values() for s in p], [x for _, e in loaded.values() for x in e])
+    robots = {robot: Ontology.of(c, robot) for _, _, robot in sets if robot is not None}
     found = F.array(_failure(F.col("action_id"), "unknown action"))
-    for robot in [r[0] for r in c.actions.select("robot_id").distinct().collect()]:
-        o = Ontology.of(c, robot)
-        for a in c.actions.where(F.col("robot_id") == robot).select("id", F.to_json("parameters").alias("p"), F.to_json("preconditions").alias("e")).collect():
-            rules = parameter_failures(json.loads(a["p"] or "null") or []) + precondition_failures(json.loads(a["e"] or "null") or [], o)
-            hits = F.array_compact(F.array(*rules)) if rules else F.array().cast(f"array<{FAILURE}>")
-            found = F.when((F.col("robot_id") == robot) & (F.col("action_id") == a["id"]), hits).otherwise(found)
-    out = calls.withColumn("__found", found.cast(f"array<{FAILURE}>"))
+    for key, i in sets.items():
+        specs, preconditions = loaded[key]
+        rules = parameter_failures(specs, bound=bound) + precondition_failures(preconditions, robots.get(key[2], Ontology()), bound=bound)
+        hits = F.array_compact(F.array(*rules)) if rules else F.array().cast(f"array<{FAILURE}>")
+        found = F.when(F.col("__rules") == i, hits).otherwise(found)
+    known = c.spark.createDataFrame(number, "robot_id string, action_id string, __rules int")
+    out = calls_.join(small(known), ["robot_id", "action_id"], "left").withColumn("__found", found.cast(f"array<{FAILURE}>"))
     hard = lambda f: f["severity"].isin("error", "fatal")
-    out = out.withColumns({"failures": F.filter("__found", hard), "warnings": F.filter("__found", lambda f: ~hard(f))}).drop("__found")
+    out = unbind(out.withColumns({"failures": F.filter("__found", hard), "warnings": F.filter("__found", lambda f: ~hard(f))}).drop("__found", "__rules"), bound)
     summary = F.concat(F.when(F.size("failures") == 0, "OK").otherwise("BLOCKED"), F.array_join(F.transform(F.concat("failures", "warnings"), lambda f: F.concat(F.lit("\n- "), f["error"])), ""))
-    return out.withColumn("ok", F.size("failures") == 0).withColumn("summary", summary)
+    return out.withColumn("ok", F.size("failures") == 0).withColumn("summary", summary).select(*calls.columns, "failures", "warnings", "ok", "summary")

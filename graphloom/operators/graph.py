@@ -210,23 +210,31 @@ def capability_parameters(c: Catalog) -> DataFrame:
 def capability_summary(c: Catalog, kind: str | None = None, include_readonly: bool = True) -> DataFrame:
     """[J4, J5] One row per capability with arrays of providers, parameters, actions and interfaces.
 
-    Each side is grouped by itself before the joins, so sides do not multiply.
-    ``include_readonly`` False hides actions of safety class INFO.
+    The links of all sides are read in one pass, kept only for the capabilities
+    asked for, resolved once and grouped once; a link is on one side, so sides do
+    not multiply.  ``include_readonly`` False hides actions of safety class INFO.
     """
     caps = objects_of_type(c, "Capability").withColumn("kind", prop("capability_kind"))
     caps = optional_filters(caps, kind=kind)
     key = ["robot_id", "capability"]
-    providers = capability_providers(c).groupBy(*key).agg(F.array_sort(F.collect_list("provider")).alias("providers"))
-    params = capability_parameters(c).groupBy(*key).agg(F.array_sort(F.collect_list("parameter")).alias("parameters"))
-    actions = c.actions.select("robot_id", F.col("id").alias("interface"), "safety_class")
-    shown = capability_interfaces(c).where("far_type = 'Action'").join(small(actions), ["robot_id", "interface"])
-    shown = shown if include_readonly else shown.where("not (safety_class <=> 'INFO')")
-    acts = shown.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("interface", "safety_class"))).alias("actions"))
-    faces = capability_interfaces(c).where("far_type in ('Topic', 'Service')").groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(F.col("interface").alias("id"), F.col("far_type").alias("type"), F.coalesce(prop("msg_type", "string", "far_props"), prop("srv_type", "string", "far_props")).alias("schema")))).alias("interfaces"))
+    at_target = F.col("type") == "provides_capability"
+    sides = c.links.where(F.col("type").isin("provides_capability", "has_parameter", "exposed_via")).select("robot_id", F.col("type").alias("side"), F.when(at_target, F.col("target")).otherwise(F.col("source")).alias("capability"), F.when(at_target, F.col("source")).otherwise(F.col("target")).alias("far_id"))
+    asked = caps.select("robot_id", F.col("id").alias("capability"))
+    sides = sides.join(small(asked) if kind else asked, key, "left_semi")
+    objects = c.objects.select("robot_id", F.col("id").alias("far_id"), F.col("type").alias("far_type"), F.when(F.col("type").isin("Topic", "Service"), F.coalesce(prop("msg_type"), prop("srv_type"))).alias("schema"), F.lit(None).cast("string").alias("safety_class"), F.lit(True).alias("is_object"))
+    acts = c.actions.select("robot_id", F.col("id").alias("far_id"), F.lit("Action").alias("far_type"), F.lit(None).cast("string").alias("schema"), "safety_class", F.lit(False).alias("is_object")).join(c.objects.select("robot_id", F.col("id").alias("far_id")), ["robot_id", "far_id"], "left_anti")
+    far = sides.join(objects.unionByName(acts), ["robot_id", "far_id"])
+    listed = lambda when, item: F.when(F.count_if(when) > 0, F.array_sort(F.collect_list(F.when(when, item))))
+    side, action = F.col("side"), (F.col("side") == "exposed_via") & ~F.col("is_object")
+    shown = action if include_readonly else action & ~F.col("safety_class").eqNullSafe("INFO")
+    grouped = far.groupBy(*key).agg(
+        listed(side == "provides_capability", F.col("far_id")).alias("providers"),
+        listed((side == "has_parameter") & F.col("is_object"), F.col("far_id")).alias("parameters"),
+        listed(shown, F.struct(F.col("far_id").alias("interface"), "safety_class")).alias("actions"),
+        listed((side == "exposed_via") & F.col("far_type").isin("Topic", "Service"), F.struct(F.col("far_id").alias("id"), F.col("far_type").alias("type"), "schema")).alias("interfaces"),
+    )
     out = caps.select("robot_id", F.col("id").alias("capability"), F.coalesce(prop("name_human"), "id").alias("name"), "kind", F.coalesce(prop("description"), F.lit("")).alias("description"), prop("detects", "array<string>").alias("detects"), prop("produces", "array<string>").alias("produces"), prop("boundaries", "array<string>").alias("boundaries"))
-    for side in (providers, params, acts, faces):
-        out = out.join(side, key, "left")
-    return out
+    return out.join(grouped, key, "left")
 
 
 def find_capabilities(c: Catalog, capability_kind: str | None = None, detects: str | None = None, provider: str | None = None, exposed_via: str | None = None, requirement: str | None = None) -> DataFrame:
@@ -280,6 +288,21 @@ def events_indicating(c: Catalog) -> DataFrame:
     return neighbours(c, "indicates", "target").select("robot_id", F.col("near_id").alias("target"), F.col("far_id").alias("event"))
 
 
+def findings_indicating(c: Catalog, findings: DataFrame, target: str) -> DataFrame:
+    """[J31] Of the events that indicate a target, those among the active findings (robot_id, event)."""
+    known = events_indicating(c).where(F.col("target") == target)
+    return known.join(findings.select("robot_id", "event").distinct(), ["robot_id", "event"], "left_semi").select("robot_id", "target", "event")
+
+
+def standard_terms(c: Catalog) -> DataFrame:
+    """One row per mapped term of the standards registry: robot_id, standard, name, term, mapped (text)."""
+    registry = F.explode(prop("standards", "array<variant>", "standard_mappings"))
+    rows = c.robots.select("robot_id", registry.alias("s"))
+    pairs = F.explode(F.map_entries(F.try_variant_get("s", "$.mappings", "map<string,variant>")))
+    rows = rows.select("robot_id", prop("id", "string", "s").alias("standard"), prop("name", "string", "s").alias("name"), pairs.alias("p"))
+    return rows.select("robot_id", "standard", "name", F.col("p.key").alias("term"), F.try_variant_get("p.value", "$", "string").alias("mapped"))
+
+
 def transitions(c: Catalog) -> DataFrame:
     """[J13] (robot_id, mode, next): the next mode's value, else its id; dangling links drop."""
     return neighbours(c, "transitions_to", "source").select("robot_id", F.col("near_id").alias("mode"), F.coalesce(prop("mode_value", "string", "far_props"), "far_id").alias("next"))
@@ -287,8 +310,9 @@ def transitions(c: Catalog) -> DataFrame:
 
 def kinematic_tree(c: Catalog, link_type: str = "parent_of", depth: int = 64) -> DataFrame:
     """Closure of a link type: (robot_id, top, id, depth)."""
-    c.links.where(F.col("type") == link_type).select("robot_id", "source", "target").distinct().createOrReplaceTempView("__edges")
-    return c.spark.sql(f"WITH RECURSIVE t(robot_id, top, id, depth) AS (SELECT robot_id, source, target, 1 FROM __edges UNION ALL SELECT t.robot_id, t.top, e.target, t.depth + 1 FROM t JOIN __edges e ON t.robot_id = e.robot_id AND t.id = e.source WHERE t.depth < {depth}) SELECT * FROM t")
+    edges = c.links.where(F.col("type") == link_type).select("robot_id", "source", "target").distinct()
+    sql = "WITH RECURSIVE t(robot_id, top, id, depth) AS (SELECT robot_id, source, target, 1 FROM {edges} UNION ALL SELECT t.robot_id, t.top, e.target, t.depth + 1 FROM t JOIN {edges} e ON t.robot_id = e.robot_id AND t.id = e.source WHERE t.depth < {depth}) SELECT * FROM t"
+    return c.spark.sql(sql, edges=edges, depth=depth)
 
 
 # Counts and sets -----------------------------------------------------------

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,10 +18,11 @@ EVENT = "ts string, kind string, source_file string, payload map<string,string>,
 
 def line_events(lines: DataFrame) -> DataFrame:
     """[T4, T5, W8] lines (file, line, text) -> one event per line that matches a pattern, in arrival order ``seq``."""
-    found = lines.withColumn("c", S.log_class(F.col("text"))).where("c is not null")
-    ts = S.line_timestamp(F.col("text"))
-    payload = F.create_map(F.lit("line"), F.col("line").cast("string"), F.lit("text"), S.clip(F.col("text"), F.col("c.keep_full")))
-    return found.select(ts.alias("ts"), F.concat(F.lit("log."), F.col("c.kind")).alias("kind"), F.col("file").alias("source_file"), payload.alias("payload"), F.lit(None).cast("string").alias("ontology_ref"), F.col("c.severity").alias("severity"), S.epoch_ns(ts).alias("epoch_ns"), F.struct("file", "line").alias("seq"))
+    # A generator instead of a filter: a filter would be pushed below the class and match every pattern again.
+    found = lines.select("*", F.explode(F.array_compact(F.array(S.log_class(F.col("text"))))).alias("c")).withColumn("ts", S.line_timestamp(F.col("text")))
+    of = lambda which: S.class_value(F.col("c"), which)
+    payload = F.create_map(F.lit("line"), F.col("line").cast("string"), F.lit("text"), S.clip(F.col("text"), of(3)))
+    return found.select("ts", F.concat(F.lit("log."), of(1)).alias("kind"), F.col("file").alias("source_file"), payload.alias("payload"), F.lit(None).cast("string").alias("ontology_ref"), of(2).alias("severity"), S.epoch_ns(F.col("ts")).alias("epoch_ns"), F.struct("file", "line").alias("seq"))
 
 
 def kind_counts(events: DataFrame) -> DataFrame:
@@ -94,9 +97,13 @@ def bit_events(active: DataFrame) -> DataFrame:
 
 
 def mode_events(sig: DataFrame) -> DataFrame:
-    """[W2] Observed modes: text values of the mode fields."""
+    """[W2] Observed modes: text values of the mode fields.
+
+    Their severity is unknown, so they rank last: they are kept while there is
+    room and displace nothing, in :func:`retain_topk` as in the buffer.
+    """
     text = F.try_variant_get("value", "$", "string")
-    return sig.where(F.col("name").isin("mc_action", "mode", "current_mode") & (F.schema_of_variant("value") == "STRING") & (text != "")).withColumn("mode", text).drop("value")
+    return sig.where(F.col("name").isin("mc_action", "mode", "current_mode") & (F.schema_of_variant("value") == "STRING") & (text != "")).withColumn("mode", text).withColumn("severity", F.lit("unknown")).drop("value")
 
 
 def scalar_series(sig: DataFrame) -> DataFrame:
@@ -140,35 +147,60 @@ def retain_topk(events: DataFrame, quota: int, order: list[str], session: list[s
     held = F.row_number().over(Window.partitionBy(*session, F.lit(0)).orderBy(*by))
     n = critical.groupBy(*session).agg(F.count("*").alias("__c")) if session else critical.agg(F.count("*").alias("__c"))
     ranked = near.withColumn("__rn", held)
-    ranked = ranked.join(F.broadcast(n), list(session), "left") if session else ranked.crossJoin(F.broadcast(n))
+    ranked = ranked.join(small(n), list(session), "left") if session else ranked.crossJoin(F.broadcast(n))  # without sessions one row
     kept = ranked.where(F.col("__rn") <= quota - F.coalesce("__c", F.lit(0))).drop("__rn", "__c")
     return kept.unionByName(critical)
 
 
-def fold_retention(severities: list[str], quota: int, tested: list[str] | None = None) -> list[int]:
-    """[W1, W2] Positions kept by the sequential buffer: arrivals fill the quota, critical ones always enter, a later one evicts the first of lower rank.
+class RankedBuffer:
+    """[W1, W2] The sequential buffer: arrivals fill the quota, critical ones always enter, a later one takes the place of one of lower rank.
 
-    ``tested``: the severity that decides on entry where it differs from the stored one.
+    The one that goes is the first of the lowest rank; but a rank 1 that arrived
+    before any rank 0 goes before these.  Each rank is a queue, so an arrival
+    takes the same time at any quota.  Rank 0 (such as mode observations) never
+    displaces anything.
     """
-    kept: list[int] = []
-    rank = [SEVERITY_RANK.get(s, 0) for s in severities]
-    asked = tested or severities
-    for i, s in enumerate(asked):
-        mine = SEVERITY_RANK.get(s, 0)
-        if s != "critical" and len(kept) >= quota:
-            lower = [(k, rank[j]) for k, j in enumerate(kept) if rank[j] < mine] if mine else []
-            if not lower:
-                continue
-            # The scan lowers its mark as it goes, and ends at the first rank 1 that lowers it.
-            low, at = mine, None
-            for k, r in lower:
-                if r < low:
-                    low, at = r, k
-                    if r == 1:
-                        break
-            kept.pop(at)
-        kept.append(i)
-    return kept
+
+    def __init__(self, quota: int):
+        self.quota, self.size, self.number = quota, 0, 0
+        self.queues: dict[int, deque] = {r: deque() for r in sorted(set(SEVERITY_RANK.values()))}
+
+    def put(self, item, severity: str) -> None:
+        """Keep an item whatever the quota."""
+        self.queues[SEVERITY_RANK.get(severity, 0)].append((self.number, item))
+        self.number, self.size = self.number + 1, self.size + 1
+
+    def _victim(self, rank: int) -> deque | None:
+        lower = [r for r, q in self.queues.items() if r < rank and q]
+        if not lower:
+            return None
+        low = lower[0]
+        if low == 0 and 1 in lower and self.queues[1][0][0] < self.queues[0][0][0]:
+            low = 1
+        return self.queues[low]
+
+    def offer(self, item, severity: str, tested: str | None = None) -> tuple[bool, object]:
+        """(whether the item is kept, the item that went for it or None); ``tested``: the severity that decides on entry, if another."""
+        asked, gone = severity if tested is None else tested, None
+        if asked != "critical" and self.size >= self.quota:
+            queue = self._victim(SEVERITY_RANK.get(asked, 0))
+            if queue is None:
+                return False, None
+            gone, self.size = queue.popleft()[1], self.size - 1
+        self.put(item, severity)
+        return True, gone
+
+    def kept(self) -> list:
+        """Items in order of arrival."""
+        return [item for _, item in sorted((x for q in self.queues.values() for x in q), key=lambda x: x[0])]
+
+
+def fold_retention(severities: list[str], quota: int, tested: list[str] | None = None) -> list[int]:
+    """[W1, W2] Positions that a :class:`RankedBuffer` keeps of arrivals in this order."""
+    buffer = RankedBuffer(quota)
+    for i, severity in enumerate(severities):
+        buffer.offer(i, severity, tested[i] if tested else None)
+    return buffer.kept()
 
 
 def retain_exact(events: DataFrame, quota: int, order: str, session: str) -> DataFrame:
@@ -221,18 +253,23 @@ def file_stats(files: DataFrame) -> DataFrame:
 def cpu_summary(frames: DataFrame) -> DataFrame:
     """[A12] frames (interval, ticks, cpus, sys, user) -> frames, skipped, max, avg, p95 (index int(n*0.95)), above 80 %.
 
-    The 95th is found through counts per distinct value and their running sum,
-    so rows are aggregated before any ordering.
+    The 95th is found through counts: of hundredths, then of parts of the one
+    hundredth that holds it, then of the values in that part.  So only a bounded
+    number of rows is ever ordered in one task.
     """
     total = F.col("ticks") * F.col("interval") * F.col("cpus")
     busy = 100 * (F.col("sys") + F.col("user")) / F.nullif(total, F.lit(0))
     reset = (F.col("interval") <= 0) | (F.col("interval") > 120)
     marked = frames.withColumn("busy", F.when(~reset & (total > 0), busy)).withColumn("skipped", reset | (F.col("busy") < 0) | (F.col("busy") > 100))
     fine = marked.where("busy between 0 and 100")
-    per = fine.groupBy("busy").agg(F.count("*").alias("n"))
-    upto = per.withColumn("upto", F.sum("n").over(Window.orderBy("busy")))
     stats = fine.agg(F.count("*").alias("frames"), F.bround(F.max("busy"), 1).alias("busy_max"), F.bround(F.avg("busy"), 1).alias("busy_avg"), F.count_if(F.col("busy") > 80).alias("high_frames"))
-    p95 = upto.crossJoin(F.broadcast(stats.select("frames"))).where("upto > floor(frames * 0.95)").agg(F.bround(F.min("busy"), 1).alias("busy_p95"))
+    level = fine.groupBy("busy").agg(F.count("*").alias("n")).crossJoin(F.broadcast(stats.select(F.floor(F.col("frames") * 0.95).alias("rank"))))
+    for part in (F.floor(F.col("busy") * 100), F.floor(F.col("busy") * 1_000_000), F.col("busy")):
+        level = level.withColumn("part", part)
+        upto = level.groupBy("part", "rank").agg(F.sum("n").alias("n")).withColumn("upto", F.sum("n").over(Window.orderBy("part")))
+        at = upto.where("upto > rank").agg(F.min_by(F.struct("part", (F.col("rank") - (F.col("upto") - F.col("n"))).alias("rank")), "part").alias("at"))
+        level = level.drop("rank").crossJoin(F.broadcast(at)).where("part = at.part").select("busy", "n", F.col("at.rank").alias("rank"))
+    p95 = level.agg(F.bround(F.min("busy"), 1).alias("busy_p95"))
     skipped = marked.agg(F.count_if("skipped").alias("skipped"))
     return stats.crossJoin(F.broadcast(p95)).crossJoin(F.broadcast(skipped))
 

@@ -7,7 +7,8 @@ from dataclasses import dataclass, field
 from pathlib import Path
 
 import yaml
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..catalog import Catalog, prop
@@ -36,7 +37,8 @@ def load_profile(name: str, folder: str = "") -> list[Rule]:
     """[S24] A profile by path, or by name in a folder (that of the package by default)."""
     at = Path(name) if name.endswith((".yaml", ".yml")) else Path(folder or Path(__file__).parent.parent / "profiles") / f"{name}.yaml"
     keys = ("id", "severity", "check", "args", "description", "hint")
-    return [Rule(**{k: r[k] for k in keys if r.get(k) is not None}) for r in yaml.safe_load(at.read_text("utf-8"))["rules"]]
+    rules = (yaml.safe_load(at.read_text("utf-8")) or {}).get("rules") or []
+    return [Rule(**({"severity": "should"} | {k: r[k] for k in keys if r.get(k) is not None})) for r in rules]
 
 
 def _robots(c: Catalog) -> DataFrame:
@@ -53,9 +55,10 @@ def _counted(c: Catalog, rows: DataFrame, passed, what: str) -> DataFrame:
 
 def _missing(c: Catalog, bad: DataFrame, what: str, shown: int = 5, none_fails: DataFrame | None = None) -> DataFrame:
     """A row per robot: ids of bad rows; the first ``shown`` by ord are named [W7]."""
-    listed = bad.groupBy("robot_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("ord", "id"))).alias("ids"))
-    out = _robots(c).join(listed, "robot_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    names = F.array_join(F.transform(F.slice("ids", 1, shown), lambda i: i["id"]), ", ")
+    first = F.row_number().over(Window.partitionBy("robot_id").orderBy("ord", "id"))
+    named = bad.select("robot_id", "ord", "id").withColumn("__rn", first).where(F.col("__rn") <= shown).groupBy("robot_id").agg(F.array_sort(F.collect_list(F.struct("ord", "id"))).alias("ids"))
+    out = _robots(c).join(bad.groupBy("robot_id").agg(F.count("*").alias("n")), "robot_id", "left").join(named, "robot_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    names = F.array_join(F.transform("ids", lambda i: i["id"]), ", ")
     passed = F.col("n") == 0
     if none_fails is not None:
         some = none_fails.select("robot_id").distinct().withColumn("some", F.lit(True))
@@ -175,12 +178,12 @@ CHECKS: dict[str, Callable[[Catalog, dict], DataFrame]] = {
 
 
 def evaluate(c: Catalog, rules: list[Rule]) -> DataFrame:
-    """[Q0] A row per robot and rule; an unknown check, or one that cannot be planned, is a failed row."""
+    """[Q0] A row per robot and rule; an unknown check, or arguments that a check cannot use, make a failed row."""
     out = c.spark.createDataFrame([], RESULT)
     for rule in rules:
         try:
             rows = CHECKS[rule.check](c, rule.args)
-        except Exception as error:  # noqa: BLE001  one broken rule must not end the others
+        except (KeyError, TypeError, ValueError, AnalysisException) as error:  # one broken rule must not end the others
             rows = _robots(c).select("robot_id", F.lit(False).alias("passed"), F.lit(None).cast("double").alias("observed"), F.lit(f"check {rule.check} failed: {type(error).__name__}").alias("detail"))
         out = out.unionByName(rows.select("robot_id", F.lit(rule.id).alias("rule_id"), F.lit(rule.severity).alias("severity"), "passed", "observed", "detail"))
     return out

@@ -238,9 +238,9 @@ def a_nominal_bits(spark, d):
     return ingest.nominal_bits(P.event_bits(spark, d).withColumn("name", F.lit("k"))).select("bit", "n")
 
 
-@query(f"SELECT event_id, dim.bit, ref FROM (SELECT *, CAST(regexp_extract(props, '\"k\": *([0-9]+)', 1) AS BIGINT) AS k FROM events WHERE event_type = 'error') e, {BITS_SQL} WHERE (k >> dim.bit) & 1 = 1")
+@query(f"SELECT event_id, dim.bit, ref FROM (SELECT *, CAST(regexp_extract(props, '\"k\": *([0-9]+)', 1) AS BIGINT) AS k FROM events) e, {BITS_SQL} WHERE (k >> dim.bit) & 1 = 1")
 def j_bitmap_explain(spark, d):
-    values = P.table(spark, d, "events").where("event_type = 'error'").select("event_id", F.lit("k").alias("field"), F.get_json_object("props", "$.k").try_cast("long").alias("value"))
+    values = P.table(spark, d, "events").select("event_id", F.lit("k").alias("field"), F.get_json_object("props", "$.k").try_cast("long").alias("value"))
     return ingest.explain_bitmap(values, P.bits_table(spark).withColumn("field", F.lit("k"))).select("event_id", "bit", "ref")
 
 
@@ -480,13 +480,15 @@ PARAM_SQL = "(CASE WHEN l_linenumber = 7 OR l_quantity < 2 OR l_quantity > 45 TH
 
 @query(f"SELECT CAST({PARAM_SQL} AS BIGINT) AS failures, count(*) AS n FROM lineitem GROUP BY 1")
 def g_param_checks(spark, d):
-    return _calls(spark, d).select(_none_as_zero(gate.parameter_failures(PARAMETERS)).alias("failures")).groupBy("failures").agg(F.count("*").alias("n"))
+    calls, bound = gate.bind(_calls(spark, d), PARAMETERS)
+    return calls.select(_none_as_zero(gate.parameter_failures(PARAMETERS, bound=bound)).alias("failures")).groupBy("failures").agg(F.count("*").alias("n"))
 
 
 @query("SELECT CASE WHEN l_linestatus = 'O' OR abs(l_discount) >= 0.03 THEN 'PASS' ELSE 'FAIL' END AS first, 'EVAL_ERROR' AS second, CASE WHEN l_linenumber IN (1, 2, 3) AND NOT contains(l_returnflag, 'R') THEN 'PASS' ELSE 'FAIL' END AS third, 'EVAL_ERROR' AS fourth, count(*) AS n FROM lineitem GROUP BY ALL")
 def g_preconditions(spark, d):
-    verdicts = [gate.evaluate(p["expr"]).alias(n) for p, n in zip(PRECONDITIONS, ("first", "second", "third", "fourth"), strict=True)]
-    return _calls(spark, d).select(*verdicts).groupBy("first", "second", "third", "fourth").agg(F.count("*").alias("n"))
+    calls, bound = gate.bind(_calls(spark, d), preconditions=PRECONDITIONS)
+    verdicts = [gate.evaluate(p["expr"], bound=bound).alias(n) for p, n in zip(PRECONDITIONS, ("first", "second", "third", "fourth"), strict=True)]
+    return calls.select(*verdicts).groupBy("first", "second", "third", "fourth").agg(F.count("*").alias("n"))
 
 
 @query(f"SELECT ok, failures, warnings, count(*) AS n FROM (SELECT {PARAM_SQL} + CASE WHEN l_linestatus = 'O' OR abs(l_discount) >= 0.03 THEN 0 ELSE 1 END = 0 AS ok, CAST({PARAM_SQL} + CASE WHEN l_linestatus = 'O' OR abs(l_discount) >= 0.03 THEN 0 ELSE 1 END AS BIGINT) AS failures, CAST(CASE WHEN l_linenumber IN (1, 2, 3) AND l_returnflag <> 'R' THEN 0 ELSE 1 END AS BIGINT) AS warnings FROM lineitem) GROUP BY ALL")
@@ -566,3 +568,5 @@ def k_graph_json(spark, d):
     c = P.catalog(spark, d, P.nations(spark, d), P.links(P.table(spark, d, "nation"), "located_in", P.key("nation", "n_nationkey"), P.key("region", "n_regionkey"), "n_nationkey"))
     text = graph_json(c)
     return text.select(F.get_json_object("graph", "$.stats.nodes").cast("long").alias("nodes"), F.get_json_object("graph", "$.stats.links").cast("long").alias("links"))
+
+from . import further  # noqa: E402, F401  registers its queries

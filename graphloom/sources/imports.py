@@ -82,8 +82,8 @@ def topic_uses(texts: DataFrame) -> DataFrame:
 
 def sdk_tree(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     """[S21] Messages, services and topic uses of an SDK folder; Python files that start with __ are left out."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(F.col("path").alias("file"), F.decode("content", "UTF-8").alias("value"))
-    lines = raw.select("file", F.posexplode(F.split("value", "\n")).alias("pos", "text")).select("file", (F.col("pos") + 1).alias("line"), "text")
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{msg,srv,py}").load(root).select(F.col("path").alias("file"), F.decode("content", "UTF-8").alias("value"))
+    lines = raw.where(~F.endswith("file", F.lit(".py"))).select("file", F.posexplode(F.split("value", "\n")).alias("pos", "text")).select("file", (F.col("pos") + 1).alias("line"), "text")
     python = raw.where(F.endswith("file", F.lit(".py")) & ~F.col("file").rlike("/__[^/]*$"))
     return {"messages": fields(lines.where(F.endswith("file", F.lit(".msg")))), "services": service_fields(lines.where(F.endswith("file", F.lit(".srv")))), "topics": topic_uses(python)}
 

@@ -10,14 +10,17 @@ import json
 
 import pandas as pd
 import yaml
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..functions import scalars as S
+from ..operators import ingest
+
 #: [S8] Folders of a session in the order they are read.
 FOLDERS = ("info", "log", "bag")
-LOG_NAME = r"\.(?:log|txt)$|\.log_\d+$"
-DOCUMENT_NAME = r"\.(?:yaml|yml|json|jsonl)$"
+LOG_NAME = r"(?i)\.(?:log|txt)$|\.log_\d+$"
+DOCUMENT_NAME = r"(?i)\.(?:yaml|yml|json|jsonl|mcap|atop)$"
 
 
 def listing(spark: SparkSession, root: str) -> DataFrame:
@@ -25,7 +28,7 @@ def listing(spark: SparkSession, root: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", F.col("length").alias("bytes"))
     rel = F.regexp_extract("path", "(?:^|/)(info|log|bag)/.*$", 1)
     name = F.element_at(F.split("path", "/"), -1)
-    fmt = F.when(name.rlike(LOG_NAME), "log").when(name.rlike(DOCUMENT_NAME), F.regexp_extract(name, r"\.([a-z]+)$", 1))
+    fmt = F.when(name.rlike(LOG_NAME), "log").when(name.rlike(DOCUMENT_NAME), F.regexp_extract(F.lower(name), r"\.([a-z]+)$", 1))
     return files.select("path", rel.alias("directory"), name.alias("name"), "bytes", fmt.alias("format")).where("directory <> ''")
 
 
@@ -37,13 +40,22 @@ def skipped(files: DataFrame) -> DataFrame:
 def log_lines(spark: SparkSession, *paths: str, text: DataFrame | None = None) -> DataFrame:
     """[S12, S13] file, line (from 1), text; blank lines are numbered but dropped, broken bytes replaced.
 
-    A file is one value here; ``text`` (file, value) takes texts from elsewhere.
+    Files are read in blocks, so they may be of any size: a line's number is its
+    place in its block plus the lines of the blocks before.  ``text`` (file,
+    value) takes whole texts from elsewhere.
     """
-    if text is None:
-        raw = spark.read.format("binaryFile").load(list(paths))
-        text = raw.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.decode("content", "UTF-8").alias("value"))
-    lines = text.select("file", F.posexplode(F.split("value", "\n")).alias("pos", "text"))
-    return lines.where("text <> ''").select("file", (F.col("pos") + 1).cast("long").alias("line"), "text")
+    if text is not None:
+        lines = text.select("file", F.posexplode(F.split("value", "\n")).alias("pos", "text"))
+        return lines.where("text <> ''").select("file", (F.col("pos") + 1).cast("long").alias("line"), "text")
+    raw = spark.read.text(list(paths)).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.make_valid_utf8("value").alias("text")).withColumn("at", F.monotonically_increasing_id())
+    ahead = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    before = raw.groupBy("path", "block").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(ahead), F.lit(0))).drop("n")
+    placed = raw.withColumn("place", F.row_number().over(Window.partitionBy("path", "block").orderBy("at"))).where("text <> ''")
+    return placed.join(before, ["path", "block"]).select(_name("path").alias("file"), (F.col("before") + F.col("place")).alias("line"), "text")
+
+
+def _name(path: str):
+    return F.element_at(F.split(F.col(path), "/"), -1)
 
 
 def json_lines(spark: SparkSession, *paths: str) -> DataFrame:
@@ -96,6 +108,14 @@ def flatten_message(value, depth: int = 8, items: int = 32):
     return str(value)[:200]
 
 
+def message_lines(spark: SparkSession, *paths: str) -> DataFrame:
+    """[S14] Exported message lines in any store that Spark reads: topic, msg_type, log_time_ns, publish_time_ns, payload (VARIANT)."""
+    of = lambda key, kind: F.try_variant_get("doc", f"$.{key}", kind).alias(key)
+    shown = F.pandas_udf(lambda texts: texts.map(lambda t: t if t is None else json.dumps(flatten_message(json.loads(t)))), "string")
+    payload = F.try_parse_json(shown(F.to_json(F.try_variant_get("doc", "$.payload", "variant")))).alias("payload")
+    return json_lines(spark, *paths).select("file", of("topic", "string"), of("msg_type", "string"), of("log_time_ns", "long"), of("publish_time_ns", "long"), payload)
+
+
 class MessageSource(DataSource):
     """[S14, X5] Message streams: topic, msg_type, log_time_ns, publish_time_ns, payload (JSON text).
 
@@ -149,3 +169,74 @@ def atop_frames(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     cpu = p.where("p[0] = 'CPU' and size(p) >= 12").select(*[num(i).alias(n) for n, i in (("interval", 5), ("ticks", 6), ("cpus", 7), ("sys", 8), ("user", 9))])
     mem = p.where("p[0] = 'MEM' and size(p) >= 10").select(num(7).alias("total"), num(8).alias("free"))
     return cpu.na.drop(), mem.na.drop()
+
+
+# A whole session ----------------------------------------------------------------
+EVENT = ("ts", "kind", "source_file", "payload", "ontology_ref", "severity", "epoch_ns", "seq")
+
+
+def _event(df: DataFrame, kind: str, ref, place) -> DataFrame:
+    """Signals (file, topic, ts, field, …) as events in the form of log events."""
+    payload = F.create_map(F.lit("topic"), F.col("topic"), F.lit("field"), F.col("field"), F.lit("value"), place)
+    seq = F.struct(F.col("file").alias("file"), F.lit(0).cast("long").alias("line"), F.concat_ws(".", "path", "field", place).alias("part"))
+    return df.select("ts", F.lit(kind).alias("kind"), F.col("file").alias("source_file"), payload.alias("payload"), ref.alias("ontology_ref"), "severity", S.epoch_ns(F.col("ts")).alias("epoch_ns"), seq.alias("seq"))
+
+
+def run(spark: SparkSession, root: str, bits: DataFrame, quota: int = 10_000) -> dict[str, DataFrame]:
+    """[S8, W2] A session folder: every file goes to the reader of its format, and all become one set of tables.
+
+    events (retained, critical ones and the ``quota``'s worth), kinds (counts
+    before retention), scalars, fields, topics, msg_types, cpu and memory frames,
+    skipped (files per unsupported extension), stats (per folder) and warnings.
+    Broken files and message files without the bag library are warnings; the
+    other files go on.  bits: (field, bit, ref, severity).
+    """
+    files = listing(spark, root)
+    paths: dict[str, list[str]] = {}
+    for r in files.where("format is not null").select("path", "format").orderBy("path").collect():  # names of files, as the reader lists them itself
+        paths.setdefault(r["format"], []).append(r["path"])
+    docs = spark.createDataFrame([], "file string, doc variant")
+    warnings = spark.createDataFrame([], "file string, message string")
+    if yamls := paths.get("yaml", []) + paths.get("yml", []):
+        found = yaml_documents(spark, *yamls)
+        docs, warnings = docs.unionByName(found.where("doc is not null")), warnings.unionByName(found.where("doc is null").select("file", F.lit("not valid YAML").alias("message")))
+    if "json" in paths:
+        found, broken = json_documents(spark, *paths["json"])
+        docs, warnings = docs.unionByName(found), warnings.unionByName(broken)
+    if "jsonl" in paths:
+        docs = docs.unionByName(json_lines(spark, *paths["jsonl"]))
+    if "mcap" in paths:
+        spark.dataSource.register(MessageSource)
+        try:
+            import mcap_ros2  # noqa: F401  optional
+
+            bags = spark.read.format("robot_messages").option("path", ",".join(paths["mcap"])).load()
+            docs = docs.unionByName(bags.select(F.col("topic").alias("file"), F.try_parse_json(F.concat(F.lit("{"), F.to_json(F.struct("topic")), F.lit(":"), F.col("payload"), F.lit("}"))).alias("doc")))
+        except ImportError:
+            names = spark.createDataFrame([(p.rsplit("/", 1)[-1], "no library for message files") for p in paths["mcap"]], "file string, message string")
+            warnings = warnings.unionByName(names)
+    lines = log_lines(spark, *paths["log"]) if "log" in paths else spark.createDataFrame([], "file string, line long, text string")
+    cpu, memory = atop_frames(log_lines(spark, *paths["atop"]) if "atop" in paths else spark.createDataFrame([], "text string"))
+
+    messages = ingest.messages(docs)
+    signals = ingest.signals(messages)
+    active = ingest.active_bits(signals, bits)
+    none = F.lit(None).cast("string")
+    from_lines = ingest.line_events(lines).withColumn("seq", F.struct(F.col("seq.file").alias("file"), F.col("seq.line").alias("line"), F.lit("").alias("part")))
+    events = from_lines.select(*EVENT)
+    events = events.unionByName(_event(ingest.bit_events(active), "status_bit", F.col("ontology_ref"), F.col("bit").cast("string")))
+    events = events.unionByName(_event(ingest.mode_events(signals), "mode_observed", none, F.col("mode")))
+    stats = files.select("directory", "bytes", F.lit(0).cast("long").alias("lines"))
+    return {
+        "events": ingest.retain_topk(events, quota, ["seq"]),
+        "kinds": ingest.kind_counts(events),
+        "scalars": ingest.scalar_series(signals).select("series", "ts", "value", "file", "path"),
+        "fields": ingest.field_counts(docs, signals),
+        "topics": ingest.topic_counts(docs),
+        "msg_types": ingest.msg_type_counts(docs),
+        "cpu": cpu,
+        "memory": memory,
+        "skipped": skipped(files),
+        "stats": ingest.file_stats(stats).drop("lines"),
+        "warnings": warnings,
+    }

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..model import SEVERITY_RANK
-from ..operators.ingest import ground_bits
+from ..catalog import small
+from ..operators.ingest import RankedBuffer, ground_bits
 
 
 def window_counts(events: DataFrame, size: str = "1 hour", late: str = "10 minutes", key: str = "event_type") -> DataFrame:
@@ -40,40 +40,48 @@ def grounded_bits(events: DataFrame, bits: DataFrame) -> DataFrame:
 
 
 class Retention(StatefulProcessor):
-    """[R1] The severity-ranked buffer of a session, kept as list state; emits what is in it after every batch."""
+    """[R1] The severity-ranked buffer of a session over all batches; a row for each event that is kept, and for each that goes later.
+
+    The state holds what can still go, at most the quota, and the number of
+    critical events, which never go.
+    """
 
     def __init__(self, quota: int):
         self.quota = quota
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.kept = handle.getListState("kept", "event_id long, severity string")
+        self.held = handle.getListState("held", "event_id long, severity string")
+        self.critical = handle.getValueState("critical", "n long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        kept = [tuple(r) for r in self.kept.get()] if self.kept.exists() else []
+        critical = self.critical.get()[0] if self.critical.exists() else 0
+        buffer = RankedBuffer(self.quota - critical)
+        for event, severity in self.held.get() if self.held.exists() else []:
+            buffer.put((event, severity), severity)
+        out = []
         arrived = pd.concat(list(rows)).sort_values("event_id", kind="stable")
-        for event, severity in zip(arrived["event_id"], arrived["severity"], strict=True):
-            mine = SEVERITY_RANK.get(severity, 0)
-            if severity != "critical" and len(kept) >= self.quota:
-                at, low = None, mine
-                for i, (_, s) in enumerate(kept if mine else []):
-                    if SEVERITY_RANK.get(s, 0) < low:
-                        at, low = i, SEVERITY_RANK.get(s, 0)
-                        if low == 1:
-                            break
-                if at is None:
-                    continue
-                kept.pop(at)
-            kept.append((int(event), severity))
-        self.kept.put(kept)
-        yield pd.DataFrame({"session": [key[0]] * len(kept), "event_id": [k[0] for k in kept], "severity": [k[1] for k in kept]})
+        for event, severity in zip(arrived["event_id"].tolist(), arrived["severity"].tolist(), strict=True):
+            if severity == "critical":
+                critical += 1
+                buffer.quota -= 1
+                out.append((key[0], event, severity, "kept"))
+                continue
+            entered, gone = buffer.offer((event, severity), severity or "")
+            if gone is not None:
+                out.append((key[0], *gone, "evicted"))
+            if entered:
+                out.append((key[0], event, severity, "kept"))
+        self.held.put(buffer.kept())
+        self.critical.update((critical,))
+        yield pd.DataFrame(out, columns=["session", "event_id", "severity", "change"])
 
     def close(self) -> None:
         pass
 
 
 def retain_stream(events: DataFrame, quota: int) -> DataFrame:
-    """[R1] events (session, event_id, severity); needs the RocksDB state store."""
-    return events.groupBy("session").transformWithStateInPandas(Retention(quota), "session string, event_id long, severity string", "Append", "None")
+    """[R1] events (session, event_id, severity) -> changes (session, event_id, severity, change); needs the RocksDB state store."""
+    return events.groupBy("session").transformWithStateInPandas(Retention(quota), "session string, event_id long, severity string, change string", "Append", "None")
 
 
 class FirstN(StatefulProcessor):
@@ -102,33 +110,78 @@ def first_n_stream(events: DataFrame, key: str, n: int) -> DataFrame:
     return events.groupBy(key).transformWithStateInPandas(FirstN(n, events.columns), events.schema, "Append", "None")
 
 
+class Arbitration:
+    """[R6] Input sources with priority and time to live; of the live ones the highest priority wins, then the first name."""
+
+    def __init__(self, live: dict[str, tuple[int, int]] | None = None, winner: str | None = None):
+        self.live, self.winner = live or {}, winner
+
+    def _change(self, ms: int) -> list[tuple[int, str | None]]:
+        best = min(self.live, key=lambda s: (-self.live[s][0], s), default=None)
+        if best == self.winner:
+            return []
+        self.winner = best
+        return [(ms, best)]
+
+    def expire(self, upto: int) -> list[tuple[int, str | None]]:
+        """Changes of the winner by sources whose time ended before ``upto``, each at the moment after its end."""
+        out = []
+        while ended := [(until, s) for s, (_, until) in self.live.items() if until < upto]:
+            until = min(ended)[0]
+            for _, source in [e for e in ended if e[0] == until]:
+                del self.live[source]
+            out += self._change(until + 1)
+        return out
+
+    def seen(self, source: str, priority: int, ms: int, timeout_ms: int) -> list[tuple[int, str | None]]:
+        out = self.expire(ms)
+        self.live[source] = (priority, max(ms + timeout_ms, self.live.get(source, (0, 0))[1]))
+        return out + self._change(ms)
+
+
 class Arbiter(StatefulProcessor):
-    """[R6] Of the input sources active within their timeout the one of highest priority wins; a row per change."""
+    """[R6] :class:`Arbitration` per robot, a row per change; a timer ends a source that goes silent."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.active = handle.getMapState("active", "source string", "priority long, until long")
         self.winner = handle.getValueState("winner", "source string")
 
+    def _load(self) -> Arbitration:
+        return Arbitration({s[0]: (p[0], p[1]) for s, p in self.active.iterator()}, self.winner.get()[0] if self.winner.exists() else None)
+
+    def _store(self, now: Arbitration, before: dict) -> None:
+        for source in before.keys() - now.live.keys():
+            self.active.removeKey((source,))
+        for source, value in now.live.items():
+            if before.get(source) != value:
+                self.active.updateValue((source,), value)
+                self.handle.registerTimer(value[1] + 2)
+        self.winner.update((now.winner,))
+
     def handleInputRows(self, key, rows, timerValues):
-        out = []
-        current = self.winner.get()[0] if self.winner.exists() else None
+        now, out = self._load(), []
+        before = dict(now.live)
         for r in pd.concat(list(rows)).sort_values("ms", kind="stable").itertuples():
-            self.active.updateValue((r.source,), (int(r.priority), int(r.ms + r.timeout_ms)))
-            live = [(p[0], s[0]) for s, p in self.active.iterator() if p[1] >= r.ms]
-            best = min(live, key=lambda x: (-x[0], x[1]))[1]
-            if best != current:
-                current = best
-                out.append((key[0], int(r.ms), best))
-        self.winner.update((current,))
-        yield pd.DataFrame(out, columns=["robot_id", "ms", "winner"])
+            out += now.seen(r.source, int(r.priority), int(r.ms), int(r.timeout_ms))
+        self._store(now, before)
+        yield pd.DataFrame([(key[0], *change) for change in out], columns=["robot_id", "ms", "winner"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        now = self._load()
+        before = dict(now.live)
+        out = now.expire(expiredTimerInfo.getExpiryTimeInMs())
+        self._store(now, before)
+        yield pd.DataFrame([(key[0], *change) for change in out], columns=["robot_id", "ms", "winner"])
 
     def close(self) -> None:
         pass
 
 
-def arbitrate(activity: DataFrame) -> DataFrame:
-    """[R6] activity (robot_id, source, priority, timeout_ms, ms) -> changes of the winning source."""
-    return activity.groupBy("robot_id").transformWithStateInPandas(Arbiter(), "robot_id string, ms long, winner string", "Append", "None")
+def arbitrate(activity: DataFrame, late: str = "1 second") -> DataFrame:
+    """[R6] activity (robot_id, source, priority, timeout_ms, ms) -> changes of the winning source, null when none is left."""
+    timed = activity.withColumn("ts", F.timestamp_millis("ms")).withWatermark("ts", late)
+    return timed.groupBy("robot_id").transformWithStateInPandas(Arbiter(), "robot_id string, ms long, winner string", "Append", "EventTime")
 
 
 def episode_reward(steps: DataFrame) -> DataFrame:
@@ -145,4 +198,4 @@ def illegal_transitions(modes: DataFrame, allowed: DataFrame, key: str, order: s
     before = F.lag("mode").over(Window.partitionBy(key).orderBy(order))
     moves = modes.withColumn("before", before).where("before is not null and before <> mode")
     known = allowed.select(F.col("mode").alias("before"), F.col("next").alias("mode"))
-    return moves.join(F.broadcast(known.distinct()) if known.limit(10_001).count() <= 10_000 else known, ["before", "mode"], "left_anti")
+    return moves.join(small(known.distinct()), ["before", "mode"], "left_anti")
