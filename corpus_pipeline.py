@@ -11,41 +11,54 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import mixing, neardup, packing, pii, toxicity
-from graphloom.llm.common import materialize, table
+from graphloom.llm.common import table
 from graphloom.llm.queries import TOKENIZER, train_languages
+from graphloom.storage import mark, materialize, release, release_since
 
 #: Languages get their share of tokens to this power, by repeating documents up to MOST times.
 TEMPER, MOST = 0.7, 4.0
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a toxicity of 0.7 or more go."""
+    """Documents with a toxicity of 0.7 or more go.
+
+    Null and empty texts score as one empty sentence and stay; repeated rows get
+    equal scores; an empty table stays empty.
+    """
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     scored = toxicity.score(docs, model).where("predicted = 0")
     return scored.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays (five words, Jaccard 0.8)."""
+    """One document of each group of near-duplicates stays (five words, Jaccard 0.8).
+
+    That of the smallest id; texts without words and rows without id stay, rows
+    of one id count as copies of each other.
+    """
     return neardup.keep_first(docs, width=5, percent=80)
 
 
 def redact_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced by its kind in brackets; n_chars follows."""
+    """Personal data is replaced by its kind in brackets; n_chars follows; a null text stays null with n_chars null."""
     found = pii.find(docs)
     new = {"text": F.col("pii_redacted"), "n_chars": F.length("pii_redacted").cast(docs.schema["n_chars"].dataType)}
     return found.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
 
 
 def mix_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rates of 1 to MOST, so no clean document goes; a document with copies n has n rows."""
+    """Rates of 1 to MOST, so no clean document goes; a document with copies n has n rows.
+
+    A text without words has the rate of equal shares; without labelled
+    documents there is one domain less, without any all rates are 1.
+    """
     model = train_languages(spark, docs, sf_dir)
     mixed, _ = mixing.mix(docs, model, temper=TEMPER, low=1.0, high=MOST)
     return mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.greatest("copies", F.lit(1))))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in windows of 1024 tokens."""
+    """Pieces of documents in windows of 1024 tokens; a null text is its end mark only."""
     return packing.pack(docs, TOKENIZER)
 
 
@@ -57,7 +70,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows over ``documents``."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs, _ = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        point = mark()
+        docs, path = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        release_since(spark, point, path)  # what the stage wrote besides
+        if before:
+            release(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
