@@ -14,7 +14,8 @@ No pairs of a bucket are listed as such.  First every member of a bucket is
 checked against the bucket's smallest member (a star).  Groups of copies become
 one component there.  Only buckets that then still hold several components get
 a second round: their members are compared block by block on signatures, and
-the few pairs that pass are checked on full sets.  So every pair that shares a
+only the members with a partner there are sent again with their full sets for
+the exact check.  So every pair that shares a
 bucket is either in one component or has been tested.
 """
 
@@ -163,49 +164,86 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(_checker(percent), "a binary, b binary")
 
 
+def _groups(batches: Iterator[pa.RecordBatch], columns: int, sized: int) -> Iterator[list[tuple]]:
+    """Rows with equal first three columns (key, i, j), which come one after the other; groups of one row are left out."""
+    group, rows = None, []
+    for batch in text_slices(batches, sized):
+        for row in zip(*(batch.column(i).to_pylist() for i in range(columns)), strict=True):
+            if row[:3] != group:
+                if len(rows) > 1:
+                    yield rows
+                group, rows = row[:3], []
+            rows.append(row)
+    if len(rows) > 1:
+        yield rows
+
+
+class _Block:
+    """A group of rows (key, i, j, own, node, comp, n, band, keys, sign, ...) and which pairs of it may be similar.
+
+    A pair is looked at in the first band that it shares only, between different
+    components, and in two different blocks if the group is of two.
+    """
+
+    def __init__(self, rows: list[tuple], percent: int, slots: int):
+        self.percent, self.rows = percent, rows
+        self.least = slots * percent / 100 - SLACK * (slots * percent / 100 * (1 - percent / 100)) ** 0.5
+        self.own = np.array([r[3] for r in rows], np.int64)
+        self.sizes = np.array([r[6] for r in rows], np.int64)
+        self.comps = np.unique([r[5].hex() for r in rows], return_inverse=True)[1]
+        self.keys = np.array([r[8] for r in rows], np.int64)
+        self.signs = np.frombuffer(b"".join(r[9] for r in rows), np.uint16).reshape(len(rows), -1)
+        self.band, self.crossing = rows[0][7], rows[0][1] != rows[0][2]
+
+    def partners(self, p: int) -> np.ndarray:
+        fit = (self.comps != self.comps[p]) & (100 * np.minimum(self.sizes, self.sizes[p]) >= self.percent * np.maximum(self.sizes, self.sizes[p]))
+        fit[: p + 1] = False
+        if self.crossing:
+            fit &= self.own != self.own[p]
+        q = np.flatnonzero(fit)
+        if self.band:
+            q = q[~(self.keys[q, : self.band] == self.keys[p, : self.band]).any(1)]
+        return q[(self.signs[q] == self.signs[p]).sum(1) >= self.least]
+
+
+def _survivors(percent: int, slots: int):
+    """Of each group the rows that have a partner by signature; only these need their sets."""
+
+    def run(batches):
+        for rows in _groups(batches, 10, 9):
+            block, alive = _Block(rows, percent, slots), set()
+            for p in range(len(rows) - 1):
+                q = block.partners(p)
+                if len(q):
+                    alive |= {p, *q.tolist()}
+            if alive:
+                kept = [rows[i] for i in sorted(alive)]
+                types = [pa.int64()] * 4 + [pa.binary()] * 2 + [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in kept], t) for i, t in enumerate(types)], names=["key", "i", "j", "own", "node", "comp", "n", "band", "keys", "sign"])
+
+    return run
+
+
 def _linker(percent: int, slots: int):
-    """Groups (key, i, j) of sorted rows (key, i, j, own, node, comp, n, band, keys, sign, set): links between components.
+    """Links between components of the groups' surviving rows, which have their sets as the eleventh column.
 
-    A pair is tested in the first band that it shares only; components that a
-    link joins are one from then on, so a group yields fewer links than it has
-    components.
+    Components that a link joins are one from then on, so a group yields fewer
+    links than it has components.
     """
-    least = slots * percent / 100 - SLACK * (slots * percent / 100 * (1 - percent / 100)) ** 0.5
 
     def within(rows):
-        own = np.array([r[3] for r in rows], np.int64)
-        sizes = np.array([r[6] for r in rows], np.int64)
-        names, comps = np.unique([r[5].hex() for r in rows], return_inverse=True)
-        keys = np.array([r[8] for r in rows], np.int64)
-        signs = np.frombuffer(b"".join(r[9] for r in rows), np.uint16).reshape(len(rows), -1)
-        band, crossing = rows[0][7], rows[0][1] != rows[0][2]
+        block = _Block(rows, percent, slots)
         sets: dict[int, np.ndarray] = {}
         of = lambda i: sets[i] if i in sets else sets.setdefault(i, np.frombuffer(rows[i][10], np.uint64))
         for p in range(len(rows) - 1):
-            fit = (comps != comps[p]) & (100 * np.minimum(sizes, sizes[p]) >= percent * np.maximum(sizes, sizes[p]))
-            fit[: p + 1] = False
-            if crossing:
-                fit &= own != own[p]
-            q = np.flatnonzero(fit)
-            if band:
-                q = q[~(keys[q, :band] == keys[p, :band]).any(1)]
-            q = q[(signs[q] == signs[p]).sum(1) >= least]
-            for k in q:
-                if comps[k] != comps[p] and similar(of(p), of(k), percent):
+            for k in block.partners(p):
+                if block.comps[k] != block.comps[p] and similar(of(p), of(k), percent):
                     yield rows[p][5], rows[k][5]
-                    comps[comps == comps[k]] = comps[p]
+                    block.comps[block.comps == block.comps[k]] = block.comps[p]
 
     def link(batches):
-        group, rows = None, []
-        for batch in text_slices(batches, 10):
-            out = []
-            for row in zip(*(batch.column(i).to_pylist() for i in range(11)), strict=True):
-                if row[:3] != group:
-                    out += within(rows) if len(rows) > 1 else []
-                    group, rows = row[:3], []
-                rows.append(row)
-            yield _links(out)
-        yield _links(within(rows) if len(rows) > 1 else [])
+        for rows in _groups(batches, 11, 10):
+            yield _links(within(rows))
 
     return link
 
@@ -263,9 +301,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # Second round: what the stars left in several components of one bucket.  Pairs with the centre have been tested.
     found = members.join(first, "node", "left").select("key", "band", "node", "n", F.coalesce("comp", "node").alias("comp"), (F.col("node") == F.col("centre")).alias("is_centre"))
-    rest = _blocks(found.where("not is_centre"))
-    rest = rest.join(classes.select("node", "keys", "sign"), "node").join(sets, "node")
-    rest = rest.select("key", "i", "j", "own", "node", "comp", "n", "band", "keys", "sign", "set").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    group = ["key", "i", "j"]
+    columns = [*group, "own", "node", "comp", "n", "band", "keys", "sign"]
+    rest = _blocks(found.where("not is_centre")).join(classes.select("node", "keys", "sign"), "node")
+    rest = rest.select(*columns).repartition(*group).sortWithinPartitions(*group)
+    alive, alive_path = materialize(rest.mapInArrow(_survivors(percent, slots), "key long, i long, j long, own long, node binary, comp binary, n long, band int, keys array<long>, sign binary"), "alive")
+    rest = alive.join(sets, "node").select(*columns, "set").repartition(*group).sortWithinPartitions(*group)
     late, late_path = materialize(rest.mapInArrow(_linker(percent, slots), "a binary, b binary").distinct(), "late")
     second, s_path = connected_components(late)
 
@@ -275,7 +316,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = classes.select("node", "rep").join(groups, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     smallest = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     names, _ = materialize(named.join(smallest, "comp").select("node", "component_id"), "names")
-    release(spark, m_path, t_path, l_path, f_path, late_path, s_path)
+    release(spark, m_path, t_path, l_path, f_path, alive_path, late_path, s_path)
 
     out = signed.select("doc_id", "n_shingles", "node").join(names, "node", "left")
     component = F.coalesce("component_id", "doc_id")
