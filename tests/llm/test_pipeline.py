@@ -99,3 +99,24 @@ def test_run_is_all_stages(spark, stages):
     got = cp.run(spark, SF).collect()
     assert pieces_of(got) == pieces_of(stages["packing"].collect()) and got
     assert not any(re.search(r"[a-z]@[a-z-]+\.[a-z]", r["text"] or "") for r in stages["mixing"].collect())
+
+
+def test_edge_rows_of_every_stage(spark):
+    """Null ids, texts and languages, empty texts, repeated rows, an extra column whose name clashes, and no rows at all."""
+    good = {r["doc_id"]: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    first = good[min(good)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score string, tokens string"
+    odd = [(None, "one two three four five six", None, None, None, "s", None), (9001, None, "en", "x", None, "s", "t"), (9002, "", None, "x", 0, None, "t"), (9003, "a b c", "xx", None, 5, "s", "t"), (9003, "a b c", "xx", None, 5, "s", "t")]
+    rows = odd + [(r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"], "s", "t") for r in good.values()]
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in cp.STAGES:
+        left = stage(spark, docs, SF)
+        none = stage(spark, docs.limit(0), SF)
+        assert none.count() == 0 and none.columns == left.columns, name
+        if name == "packing":
+            assert sum(p["doc_id"] == 9001 and p["doc_tokens"] == 1 for p in left.collect()) == 1
+            continue
+        got = [tuple(r) for r in left.collect()]
+        assert left.columns == docs.columns and {r[0] for r in got} >= {None, 9001, 9002, 9003, first["doc_id"]}, name
+        assert [r for r in got if r[0] == 9001][0] == odd[1] and [r for r in got if r[0] is None][0] == odd[0][:4] + (27 if name == "personal_data" else None,) + odd[0][5:], name
+        assert sum(r[0] == 9003 for r in got) >= (1 if name == "near_duplicates" else 2), name
