@@ -29,6 +29,8 @@ from .common import CACHE_WORDS, materialize, text_slices
 
 #: Distance to a target, as a part of it, that is reported.
 TOLERANCE = 0.01
+#: Steps of a membership within a cell of alike documents, the most cells that a fit is finished on, and its last steps over all documents.
+GRID, MOST_CELLS, POLISH = 256, 200_000, 2
 #: Windows that a domain's labelled rows are dealt over before the last choice.
 SALTS = 32
 STRIP = "\"'.,;:!?()[]{}<>|*#%&$@-_/\\=+~`0123456789"
@@ -226,37 +228,70 @@ def domain_moments(members: DataFrame, k: int, fit: RateFit) -> tuple[np.ndarray
     return found[:k], found[k:].reshape(k, k)
 
 
+def compact(members: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """(tokens, mean membership) of documents with about the same membership (to 1 / GRID), or None if these are more than MOST_CELLS."""
+    p = [F.col("membership")[i] for i in range(k)]
+    cells = members.where("tokens > 0").groupBy(*[F.round(x * GRID).alias(f"g{i}") for i, x in enumerate(p)]).agg(F.sum("tokens").cast("double").alias("t"), *[F.sum(F.col("tokens") * x).alias(f"s{i}") for i, x in enumerate(p)])
+    found = cells.select("t", *[f"s{i}" for i in range(k)]).limit(MOST_CELLS + 1).toArrow()
+    if found.num_rows > MOST_CELLS:
+        return None
+    t, *sums = (found.column(i).to_numpy() for i in range(k + 1))
+    return t, np.stack(sums, 1) / t[:, None] if len(t) else np.zeros((0, k))
+
+
 def settle(members: DataFrame, fit: RateFit, share: np.ndarray, total: float, within: float) -> None:
     """Finish a fit: at its optimum a rate is 1 - membership . c within its bounds, with c the errors over the ridge.
 
     So only K unknowns are sought, by damped Newton steps; the fit then holds
-    one error vector, whose fold is that rate.
+    one error vector, whose fold is that rate.  The steps, and rounds with less
+    ridge while that brings a domain nearer to its target, go over cells of
+    documents with about the same membership; the totals, and up to POLISH
+    further steps, over all documents.  Without cells (too many) all steps do.
     """
     k, target, alive = len(share), np.array(fit.targets), share > 1e-9
-
-    def at(c):
-        trial = RateFit([[float(x) for x in c / fit.step]], fit.step, fit.ridge, fit.low, fit.high, fit.totals, fit.targets)
-        now, moments = domain_moments(members, k, trial)
+    cells = compact(members, k)
+
+    def at(c, ridge, exact):
+        trial = RateFit([[float(x) for x in c * (1 + ridge)]], 1 / (1 + ridge), ridge, fit.low, fit.high, fit.totals, fit.targets)
+        if exact or cells is None:
+            now, moments = domain_moments(members, k, trial)
+        else:
+            t, p = cells
+            r = trial.rates(p)
+            free = p * ((r > fit.low) & (r < fit.high))[:, None]
+            now, moments = (t * r) @ p, (free * t[:, None]).T @ free
         trial.totals = now.tolist()
-        miss = np.where(alive, fit.ridge * share * c - (now - target) / total, 0)
+        miss = np.where(alive, ridge * share * c - (now - target) / total, 0)
         return trial, moments / total, miss
 
-    c = np.zeros(k)
-    best, moments, miss = at(c)
-    while np.abs(miss[alive] / share[alive]).max() >= within / 100:
-        slope = np.where(np.outer(alive, alive), moments, 0) + np.diag(np.where(alive, fit.ridge * share, 1.0))
-        move, part = np.linalg.solve(slope, -miss), 1.0
-        while True:
-            found = at(c + part * move)
-            if np.linalg.norm(found[2]) < np.linalg.norm(miss) * (1 - part / 1000):
+    def steps(c, ridge, exact, most):
+        best, moments, miss = at(c, ridge, exact)
+        for _ in range(most):
+            if np.abs(miss[alive] / share[alive]).max() < within / 100:
+                break
+            slope = np.where(np.outer(alive, alive), moments, 0) + np.diag(np.where(alive, ridge * share, 1.0))
+            move, part = np.linalg.solve(slope, -miss), 1.0
+            while part >= (0.25 if exact else 1e-6):
+                found = at(c + part * move, ridge, exact)
+                if np.linalg.norm(found[2]) < np.linalg.norm(miss) * (1 - part / 1000):
+                    break
+                part /= 2
+            else:
                 break
-            part /= 2
-            if part < 1e-6:
-                fit.errors, fit.totals = best.errors, best.totals
-                return
-        c = c + part * move
-        best, moments, miss = found
-    fit.errors, fit.totals = best.errors, best.totals
+            c = c + part * move
+            best, moments, miss = found
+        return c, best
+
+    ridge = fit.ridge
+    c, best = steps(np.zeros(k), ridge, False, 200)
+    while (off := np.abs(best.distance())).max() > TOLERANCE and ridge > 1e-9:
+        ridge /= 10
+        c, best = steps(c, ridge, False, 200)
+        if (np.abs(best.distance()) > 0.9 * off)[off > TOLERANCE].all():
+            break
+    if cells is not None:
+        c, best = steps(c, ridge, True, POLISH)
+    fit.errors, fit.totals, fit.ridge, fit.step = best.errors, best.totals, best.ridge, best.step
 
 
 def fit_rates(members: DataFrame, weights: list[float] | None, low: float = 0.0, high: float = float("inf"), temper: float | None = None, budget: float = 1.0, ridge: float = 1e-3, steps: int = 40, within: float = 1e-4) -> RateFit:
@@ -268,8 +303,7 @@ def fit_rates(members: DataFrame, weights: list[float] | None, low: float = 0.0,
     a small ridge towards rate 1.  Domains without tokens are left out.
     Rates have no upper bound unless one is given.  ``steps`` are those of the
     gradient only: if they end unfinished, or off a target by more than
-    TOLERANCE, :func:`settle` finishes the fit, with less ridge while that
-    brings a domain nearer.
+    TOLERANCE, :func:`settle` finishes the fit.
     """
     k = len(weights) if weights is not None else len((members.select("membership").first() or [[]])[0] or [])
     now = domain_sums(members, k)
@@ -296,11 +330,6 @@ def fit_rates(members: DataFrame, weights: list[float] | None, low: float = 0.0,
     fit.totals = now
     if not done or np.abs(fit.distance()).max() > TOLERANCE:
         settle(members, fit, share, total, within)
-    while (off := np.abs(fit.distance())).max() > TOLERANCE and fit.ridge > 1e-9:
-        fit.ridge, fit.step = fit.ridge / 10, 1 / (1 + fit.ridge / 10)
-        settle(members, fit, share, total, within)
-        if (np.abs(fit.distance()) > 0.9 * off)[off > TOLERANCE].all():
-            break
     return fit
 
 
