@@ -8,6 +8,7 @@ from pathlib import Path
 import yaml
 from pyspark.sql import functions as F
 
+from .. import sinks
 from ..catalog import Catalog, prop
 from ..functions import scalars as S
 from ..model import TYPES, colour_of, layer_of
@@ -490,3 +491,114 @@ def r_grounded_bits(spark, d):
     k = F.get_json_object("props", "$.k").try_cast("long")
     rows = P.table(spark, d, "events").select("event_id", F.lit("k").alias("field"), F.explode(S.set_bits(k)).alias("bit"))
     return telemetry.grounded_bits(rows, P.bits_table(spark).withColumn("field", F.lit("k"))).groupBy("severity", "bit").agg(F.count("*").alias("n"))
+
+
+# Readers and writers on files of the shared folder -------------------------------
+def _file(spark, d, name: str, df) -> str:
+    """The text column of df as files of the shared folder."""
+    path = f"{shared_dir(spark)}/graphloom/made-{name}-{abs(hash(d)) % 10**9}"
+    df.write.mode("overwrite").text(path)
+    return path
+
+
+@query("SELECT event_type AS kind, count(*) AS n, CAST(sum(user_id) AS BIGINT) AS total FROM events GROUP BY 1")
+def s_json_lines(spark, d):
+    """[S10] Events as JSON lines; every tenth line more is no JSON."""
+    e = P.table(spark, d, "events")
+    line = F.to_json(F.struct("event_type", "user_id"))
+    rows = e.select(line.alias("value")).unionByName(e.where("event_id % 10 = 0").select(F.lit("{broken").alias("value")))
+    doc = session.json_lines(spark, _file(spark, d, "lines", rows))
+    return doc.groupBy(prop("event_type", "string", "doc").alias("kind")).agg(F.count("*").alias("n"), F.sum(prop("user_id", "long", "doc")).alias("total"))
+
+
+@query("SELECT n_name AS name, CAST(n_nationkey AS BIGINT) AS key FROM nation UNION ALL SELECT 'not valid JSON', -1")
+def s_json_documents(spark, d):
+    """[S11] A list of nations as one document, and a broken one as an issue."""
+    one = P.table(spark, d, "nation").agg(F.to_json(F.collect_list(F.struct("n_name", "n_nationkey"))).alias("value"))
+    docs, broken = session.json_documents(spark, _file(spark, d, "document", one), _file(spark, d, "broken", spark.createDataFrame([("{",)], "value string")))
+    found = docs.select(prop("n_name", "string", "doc").alias("name"), prop("n_nationkey", "long", "doc").alias("key"))
+    return found.unionByName(broken.where("file like '%.txt'").select(F.col("message").alias("name"), F.lit(-1).cast("long").alias("key")))
+
+
+@query("SELECT r_name AS name, CAST(r_regionkey AS BIGINT) AS key FROM region")
+def s_yaml_documents(spark, d):
+    """[S9] A YAML document per region in one file."""
+    text = F.array_join(F.sort_array(F.collect_list(F.concat(F.lit("name: "), "r_name", F.lit("\nkey: "), _text("r_regionkey")))), "\n---\n")
+    docs = session.yaml_documents(spark, _file(spark, d, "yaml", P.table(spark, d, "region").agg(text.alias("value"))))
+    return docs.where("doc is not null").select(prop("name", "string", "doc").alias("name"), prop("key", "long", "doc").alias("key"))
+
+
+@query("SELECT '/bus/' || event_type AS topic, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ns, CAST(32 * count(*) AS BIGINT) AS items FROM events GROUP BY 1")
+def s_messages(spark, d):
+    """[S14, S15] Exported messages; lists are cut to 32 items."""
+    payload = F.struct(F.sequence(F.lit(1), F.lit(40)).alias("values"))
+    line = F.to_json(F.struct(F.concat(F.lit("/bus/"), "event_type").alias("topic"), F.col("event_id").alias("log_time_ns"), payload.alias("payload")))
+    found = session.message_lines(spark, _file(spark, d, "messages", P.table(spark, d, "events").select(line.alias("value"))))
+    return found.groupBy("topic").agg(F.count("*").alias("n"), F.sum("log_time_ns").alias("ns"), F.sum(F.size(F.try_variant_get("payload", "$.values", "array<int>"))).alias("items"))
+
+
+@query("SELECT 'j' || n_nationkey AS urdf_name, 'l' || n_regionkey AS parent, CASE n_nationkey % 3 WHEN 0 THEN 'roll' WHEN 1 THEN 'pitch' ELSE 'yaw' END AS dof_axis, round_even(-n_nationkey / 7.0, 4) AS lo, CAST(n_nationkey AS DOUBLE) AS hi FROM nation WHERE n_nationkey % 4 <> 0 UNION ALL SELECT 'l' || r_regionkey, NULL, NULL, r_regionkey + 0.5, NULL FROM region")
+def s_urdf(spark, d):
+    """[S17] A robot description of nations (joints, some fixed) and regions (links)."""
+    n, k = _text("n_nationkey"), F.col("n_nationkey")
+    axis = F.when(k % 3 == 0, "1 0 0").when(k % 3 == 1, "0 1 0").otherwise("0 0 1")
+    joint = F.concat(F.lit('<joint name="j'), n, F.lit('" type="'), F.when(k % 4 != 0, "revolute").otherwise("fixed"), F.lit('"><parent link="l'), _text("n_regionkey"), F.lit('"/><child link="c"/><axis xyz="'), axis, F.lit('"/><limit lower="'), (-k / 7.0).cast("string"), F.lit('" upper="'), n, F.lit('" velocity="1" effort="2"/></joint>'))
+    link = F.concat(F.lit('<link name="l'), _text("r_regionkey"), F.lit('"><inertial><mass value="'), _text("r_regionkey"), F.lit('.5"/></inertial></link>'))
+    nations, regions = P.table(spark, d, "nation"), P.table(spark, d, "region")
+    parts = nations.select(joint.alias("p")).unionByName(regions.select(link.alias("p")))
+    path = _file(spark, d, "urdf", parts.agg(F.concat(F.lit("<robot>\n"), F.array_join(F.collect_list("p"), "\n"), F.lit("\n</robot>")).alias("value")))
+    joints = imports.urdf_joints(spark, path)[0].select("urdf_name", "parent", "dof_axis", "lo", "hi")
+    none = F.lit(None)
+    links = imports.urdf_links(spark, path).select(F.col("name_urdf").alias("urdf_name"), none.cast("string").alias("parent"), none.cast("string").alias("dof_axis"), F.col("mass").alias("lo"), none.cast("double").alias("hi"))
+    return joints.unionByName(links)
+
+
+@query("SELECT 'nation.' || n_nationkey AS id, n_name AS name FROM nation UNION ALL SELECT 'TOTAL', CAST(count(*) AS VARCHAR) FROM nation")
+def k_inventory(spark, d):
+    """[K5] The written inventory, read back."""
+    path = f"{shared_dir(spark)}/graphloom/inventory-{abs(hash(d)) % 10**9}"
+    sinks.inventory(P.catalog(spark, d, P.nations(spark, d), P.located(spark, d)), {"Mode": ["name"]}, path)
+    read = spark.read.option("header", True).csv
+    overview = read(f"{path}/overview").where("category = 'TOTAL'")
+    return read(f"{path}/type=Mode").select("id", "name").unionByName(overview.select(F.col("category").alias("id"), F.col("n").alias("name")))
+
+
+@query("SELECT '0.2' AS version, (SELECT count(*) FROM events WHERE event_type = 'error') AS events, least((SELECT count(*) FROM events), 201) AS samples, 1::BIGINT AS kinds")
+def k_summary(spark, d):
+    """[K1] The summary document of a session's tables."""
+    e = P.table(spark, d, "events")
+    none = F.lit(None).cast("string")
+    events = e.where("event_type = 'error'").select(F.lit("").alias("ts"), F.lit("log.error").alias("kind"), F.lit("f").alias("source_file"), F.create_map(F.lit("n"), _text("event_id")).alias("payload"), none.alias("ontology_ref"), F.lit("error").alias("severity"), F.lit(0).cast("long").alias("epoch_ns"), F.col("event_id").alias("seq"))
+    samples = e.select(F.lit("a.b").alias("series"), F.lit("").alias("ts"), "value", F.lit("f").alias("file"), _text("event_id").alias("path"))
+    tables = {"events": events, "scalars": samples, "kinds": ingest.kind_counts(events), "warnings": spark.createDataFrame([], "file string, message string")}
+    text = sinks.summary_document(ROBOT, d, tables)
+    size = lambda path: F.size(F.try_variant_get("v", path, "array<variant>")).cast("long")
+    doc = text.select(F.parse_json("summary").alias("v"))
+    return doc.select(prop("schema_version", "string", "v").alias("version"), size("$.events").alias("events"), F.try_variant_get("v", "$.scalars_timeseries[0].samples_count", "long").alias("samples"), size("$.log_event_counts").alias("kinds"))
+
+
+@query("SELECT count(DISTINCT p_size % 4) AS services, count(*) FILTER (p_partkey % 5 IN (0, 3, 4)) AS fields, (SELECT count(*) FROM region) AS topics FROM part")
+def k_sdk_document(spark, d):
+    """[K7] The extraction document of service definitions and topic uses."""
+    services = imports.service_fields(_definitions(spark, d))
+    topics = P.table(spark, d, "region").select(F.lit("/sdk/a.py").alias("file"), "r_name", F.col("r_name").alias("topic"), F.lit("T").alias("msg_type"))
+    text = sinks.sdk_document({"messages": services.limit(0), "services": services, "topics": topics})
+    schema = "struct<srv_schemas:array<struct<request_fields:array<struct<name:string>>,response_fields:array<struct<name:string>>>>,topic_inferences:array<struct<topic:string>>>"
+    doc = text.select(F.from_json("document", schema).alias("v"))
+    count = lambda s: F.size(s["request_fields"]) + F.size(s["response_fields"])
+    return doc.select(F.size("v.srv_schemas").cast("long").alias("services"), F.aggregate("v.srv_schemas", F.lit(0), lambda a, s: a + count(s)).cast("long").alias("fields"), F.size("v.topic_inferences").cast("long").alias("topics"))
+
+
+@query("SELECT event_type AS k, least(count(*), 7) AS n FROM events GROUP BY 1")
+def r_first_n(spark, d):
+    """[R2] The stateful operator over bounded input: the first seven rows per key, whichever arrive first."""
+    rows = P.table(spark, d, "events").select(F.col("event_type").alias("k"), "event_id")
+    return telemetry.first_n_stream(rows, "k", 7).groupBy("k").agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_type AS session, 'critical' AS severity, count(*) AS kept, CAST(0 AS BIGINT) AS evicted FROM events WHERE value > 10 GROUP BY 1 ")
+def r_retention(spark, d):
+    """[R1] The stateful buffer over bounded input: critical events always enter, whatever the quota."""
+    rows = P.table(spark, d, "events").where("value > 10").select(F.col("event_type").alias("session"), "event_id", F.lit("critical").alias("severity"))
+    changes = telemetry.retain_stream(rows, 3)
+    return changes.groupBy("session", "severity").agg(F.count_if(F.col("change") == "kept").alias("kept"), F.count_if(F.col("change") == "evicted").alias("evicted"))

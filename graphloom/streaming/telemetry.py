@@ -39,6 +39,12 @@ def grounded_bits(events: DataFrame, bits: DataFrame) -> DataFrame:
     return ground_bits(events, bits, ["field", "bit"])
 
 
+def _stateful(df: DataFrame) -> DataFrame:
+    """df; bounded input too needs the coordinator of state stores, which the session's stream manager starts."""
+    df.sparkSession.streams.active  # noqa: B018
+    return df
+
+
 class Retention(StatefulProcessor):
     """[R1] The severity-ranked buffer of a session over all batches; a row for each event that is kept, and for each that goes later.
 
@@ -71,7 +77,10 @@ class Retention(StatefulProcessor):
                 out.append((key[0], *gone, "evicted"))
             if entered:
                 out.append((key[0], event, severity, "kept"))
-        self.held.put(buffer.kept())
+        if kept := buffer.kept():
+            self.held.put(kept)
+        else:
+            self.held.clear()
         self.critical.update((critical,))
         yield pd.DataFrame(out, columns=["session", "event_id", "severity", "change"])
 
@@ -81,7 +90,7 @@ class Retention(StatefulProcessor):
 
 def retain_stream(events: DataFrame, quota: int) -> DataFrame:
     """[R1] events (session, event_id, severity) -> changes (session, event_id, severity, change); needs the RocksDB state store."""
-    return events.groupBy("session").transformWithStateInPandas(Retention(quota), "session string, event_id long, severity string, change string", "Append", "None")
+    return _stateful(events).groupBy("session").transformWithStateInPandas(Retention(quota), "session string, event_id long, severity string, change string", "Append", "None")
 
 
 class FirstN(StatefulProcessor):
@@ -107,7 +116,7 @@ class FirstN(StatefulProcessor):
 
 def first_n_stream(events: DataFrame, key: str, n: int) -> DataFrame:
     """[R2]"""
-    return events.groupBy(key).transformWithStateInPandas(FirstN(n, events.columns), events.schema, "Append", "None")
+    return _stateful(events).groupBy(key).transformWithStateInPandas(FirstN(n, events.columns), events.schema, "Append", "None")
 
 
 class Arbitration:
@@ -181,7 +190,7 @@ class Arbiter(StatefulProcessor):
 def arbitrate(activity: DataFrame, late: str = "1 second") -> DataFrame:
     """[R6] activity (robot_id, source, priority, timeout_ms, ms) -> changes of the winning source, null when none is left."""
     timed = activity.withColumn("ts", F.timestamp_millis("ms")).withWatermark("ts", late)
-    return timed.groupBy("robot_id").transformWithStateInPandas(Arbiter(), "robot_id string, ms long, winner string", "Append", "EventTime")
+    return _stateful(timed).groupBy("robot_id").transformWithStateInPandas(Arbiter(), "robot_id string, ms long, winner string", "Append", "EventTime")
 
 
 def episode_reward(steps: DataFrame) -> DataFrame:
