@@ -35,14 +35,14 @@ def walk(docs: DataFrame, column: str = "doc", depth: int | None = None) -> Data
 
     One lateral explode per level, the frontier of containers feeding the next.
     Without ``depth`` the levels go on until the frontier is empty: after every
-    eight the containers left are written to the shared folder, which also cuts
+    four the containers left are written to the shared folder, which also cuts
     their lineage; ``depth`` is for documents known to be flatter.
     """
     spark, keep = docs.sparkSession, [c for c in docs.columns if c != column]
     level = docs.select(*keep, F.lit("$").alias("path"), F.col(column).alias("value"))
     out, done = None, 0
     while done != depth:
-        if depth is None and done and done % 8 == 0:
+        if depth is None and done and done % 4 == 0:
             level, path = materialize(level.where(F.schema_of_variant("value").rlike("^(OBJECT|ARRAY)")), "walk")
             if level.isEmpty():
                 release(spark, path)
@@ -56,9 +56,12 @@ def walk(docs: DataFrame, column: str = "doc", depth: int | None = None) -> Data
     return out
 
 
-def messages(docs: DataFrame) -> DataFrame:
-    """[T6] docs (file, doc) -> (file, topic, payload, ts) of every topic key at any depth."""
-    found = walk(docs).where(F.col("key").isNotNull() & S.is_topic(F.col("key")))
+def messages(docs: DataFrame, walked: DataFrame | None = None) -> DataFrame:
+    """[T6] docs (file, doc) -> (file, topic, payload, ts) of every topic key at any depth.
+
+    ``walked``, here and below: the documents' walk where it has been made already.
+    """
+    found = (walk(docs) if walked is None else walked).where(F.col("key").isNotNull() & S.is_topic(F.col("key")))
     return found.select("file", F.col("key").alias("topic"), F.col("value").alias("payload"), S.payload_timestamp(F.col("value")).alias("ts"), "path")
 
 
@@ -214,19 +217,19 @@ def retain_exact(events: DataFrame, quota: int, order: str, session: str) -> Dat
 
 
 # Coverage and statistics -----------------------------------------------------
-def field_counts(docs: DataFrame, sig: DataFrame) -> DataFrame:
+def field_counts(docs: DataFrame, sig: DataFrame, walked: DataFrame | None = None) -> DataFrame:
     """[A8, F24] Field counters: scalar entries of the documents, and scanned fields; a field can count in both."""
-    scalar = walk(docs).where(F.col("key").isNotNull() & ~F.schema_of_variant("value").rlike("^(OBJECT|ARRAY)") & ~S.is_topic(F.col("key")))
+    scalar = (walk(docs) if walked is None else walked).where(F.col("key").isNotNull() & ~F.schema_of_variant("value").rlike("^(OBJECT|ARRAY)") & ~S.is_topic(F.col("key")))
     one = scalar.where(S.counts_for_coverage(F.col("key"))).select(F.col("key").alias("field"))
     return one.unionByName(sig.select("field")).groupBy("field").agg(F.count("*").alias("n"))
 
 
-def topic_counts(docs: DataFrame) -> DataFrame:
-    return walk(docs).where(F.col("key").isNotNull() & S.is_topic(F.col("key"))).groupBy(F.col("key").alias("topic")).agg(F.count("*").alias("n"))
+def topic_counts(docs: DataFrame, walked: DataFrame | None = None) -> DataFrame:
+    return (walk(docs) if walked is None else walked).where(F.col("key").isNotNull() & S.is_topic(F.col("key"))).groupBy(F.col("key").alias("topic")).agg(F.count("*").alias("n"))
 
 
-def msg_type_counts(docs: DataFrame) -> DataFrame:
-    return walk(docs).where(F.col("key").isNotNull() & S.is_msg_type(F.col("key"))).groupBy(F.col("key").alias("msg_type")).agg(F.count("*").alias("n"))
+def msg_type_counts(docs: DataFrame, walked: DataFrame | None = None) -> DataFrame:
+    return (walk(docs) if walked is None else walked).where(F.col("key").isNotNull() & S.is_msg_type(F.col("key"))).groupBy(F.col("key").alias("msg_type")).agg(F.count("*").alias("n"))
 
 
 def coverage(observed: DataFrame, registered: DataFrame, key: str) -> DataFrame:

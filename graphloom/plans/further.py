@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from pathlib import Path
 
 import yaml
@@ -23,6 +24,11 @@ NONE = "variant"
 ROBOT = P.ROBOT
 
 
+def _made(spark, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
+
+
 def _text(column: str):
     return F.col(column).cast("string")
 
@@ -404,7 +410,7 @@ def s_log_lines(spark, d):
 @query(f"SELECT 'log.' || kind AS kind, count(*) AS n FROM (SELECT {CLASS_SQL} AS kind FROM ({LINES_SQL})) WHERE kind IS NOT NULL GROUP BY 1")
 def s_session_run(spark, d):
     """[S8, S12] A session folder with one log, written to the shared folder and ingested by format."""
-    root = f"{shared_dir(spark)}/graphloom/session-{abs(hash(d)) % 10**9}"
+    root = _made(spark, "session")
     P.log_lines(spark, d).select("text").write.mode("overwrite").text(f"{root}/log")
     bits = spark.createDataFrame([], "field string, bit int, ref string, severity string")
     return session.run(spark, root, bits.withColumnRenamed("field", "name"))["kinds"]
@@ -494,9 +500,9 @@ def r_grounded_bits(spark, d):
 
 
 # Readers and writers on files of the shared folder -------------------------------
-def _file(spark, d, name: str, df) -> str:
+def _file(spark, name: str, df) -> str:
     """The text column of df as files of the shared folder."""
-    path = f"{shared_dir(spark)}/graphloom/made-{name}-{abs(hash(d)) % 10**9}"
+    path = _made(spark, name)
     df.write.mode("overwrite").text(path)
     return path
 
@@ -507,7 +513,7 @@ def s_json_lines(spark, d):
     e = P.table(spark, d, "events")
     line = F.to_json(F.struct("event_type", "user_id"))
     rows = e.select(line.alias("value")).unionByName(e.where("event_id % 10 = 0").select(F.lit("{broken").alias("value")))
-    doc = session.json_lines(spark, _file(spark, d, "lines", rows))
+    doc = session.json_lines(spark, _file(spark, "lines", rows))
     return doc.groupBy(prop("event_type", "string", "doc").alias("kind")).agg(F.count("*").alias("n"), F.sum(prop("user_id", "long", "doc")).alias("total"))
 
 
@@ -515,7 +521,7 @@ def s_json_lines(spark, d):
 def s_json_documents(spark, d):
     """[S11] A list of nations as one document, and a broken one as an issue."""
     one = P.table(spark, d, "nation").agg(F.to_json(F.collect_list(F.struct("n_name", "n_nationkey"))).alias("value"))
-    docs, broken = session.json_documents(spark, _file(spark, d, "document", one), _file(spark, d, "broken", spark.createDataFrame([("{",)], "value string")))
+    docs, broken = session.json_documents(spark, _file(spark, "document", one), _file(spark, "broken", spark.createDataFrame([("{",)], "value string")))
     found = docs.select(prop("n_name", "string", "doc").alias("name"), prop("n_nationkey", "long", "doc").alias("key"))
     return found.unionByName(broken.where("file like '%.txt'").select(F.col("message").alias("name"), F.lit(-1).cast("long").alias("key")))
 
@@ -524,7 +530,7 @@ def s_json_documents(spark, d):
 def s_yaml_documents(spark, d):
     """[S9] A YAML document per region in one file."""
     text = F.array_join(F.sort_array(F.collect_list(F.concat(F.lit("name: "), "r_name", F.lit("\nkey: "), _text("r_regionkey")))), "\n---\n")
-    docs = session.yaml_documents(spark, _file(spark, d, "yaml", P.table(spark, d, "region").agg(text.alias("value"))))
+    docs = session.yaml_documents(spark, _file(spark, "yaml", P.table(spark, d, "region").agg(text.alias("value"))))
     return docs.where("doc is not null").select(prop("name", "string", "doc").alias("name"), prop("key", "long", "doc").alias("key"))
 
 
@@ -533,7 +539,7 @@ def s_messages(spark, d):
     """[S14, S15] Exported messages; lists are cut to 32 items."""
     payload = F.struct(F.sequence(F.lit(1), F.lit(40)).alias("values"))
     line = F.to_json(F.struct(F.concat(F.lit("/bus/"), "event_type").alias("topic"), F.col("event_id").alias("log_time_ns"), payload.alias("payload")))
-    found = session.message_lines(spark, _file(spark, d, "messages", P.table(spark, d, "events").select(line.alias("value"))))
+    found = session.message_lines(spark, _file(spark, "messages", P.table(spark, d, "events").select(line.alias("value"))))
     return found.groupBy("topic").agg(F.count("*").alias("n"), F.sum("log_time_ns").alias("ns"), F.sum(F.size(F.try_variant_get("payload", "$.values", "array<int>"))).alias("items"))
 
 
@@ -546,7 +552,7 @@ def s_urdf(spark, d):
     link = F.concat(F.lit('<link name="l'), _text("r_regionkey"), F.lit('"><inertial><mass value="'), _text("r_regionkey"), F.lit('.5"/></inertial></link>'))
     nations, regions = P.table(spark, d, "nation"), P.table(spark, d, "region")
     parts = nations.select(joint.alias("p")).unionByName(regions.select(link.alias("p")))
-    path = _file(spark, d, "urdf", parts.agg(F.concat(F.lit("<robot>\n"), F.array_join(F.collect_list("p"), "\n"), F.lit("\n</robot>")).alias("value")))
+    path = _file(spark, "urdf", parts.agg(F.concat(F.lit("<robot>\n"), F.array_join(F.collect_list("p"), "\n"), F.lit("\n</robot>")).alias("value")))
     joints = imports.urdf_joints(spark, path)[0].select("urdf_name", "parent", "dof_axis", "lo", "hi")
     none = F.lit(None)
     links = imports.urdf_links(spark, path).select(F.col("name_urdf").alias("urdf_name"), none.cast("string").alias("parent"), none.cast("string").alias("dof_axis"), F.col("mass").alias("lo"), none.cast("double").alias("hi"))
@@ -556,7 +562,7 @@ def s_urdf(spark, d):
 @query("SELECT 'nation.' || n_nationkey AS id, n_name AS name FROM nation UNION ALL SELECT 'TOTAL', CAST(count(*) AS VARCHAR) FROM nation")
 def k_inventory(spark, d):
     """[K5] The written inventory, read back."""
-    path = f"{shared_dir(spark)}/graphloom/inventory-{abs(hash(d)) % 10**9}"
+    path = _made(spark, "inventory")
     sinks.inventory(P.catalog(spark, d, P.nations(spark, d), P.located(spark, d)), {"Mode": ["name"]}, path)
     read = spark.read.option("header", True).csv
     overview = read(f"{path}/overview").where("category = 'TOTAL'")

@@ -16,6 +16,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import scalars as S
 from ..operators import ingest
+from ..storage import materialize
 
 #: [S8] Folders of a session in the order they are read.
 FOLDERS = ("info", "log", "bag")
@@ -218,7 +219,12 @@ def run(spark: SparkSession, root: str, bits: DataFrame, quota: int = 10_000) ->
     lines = log_lines(spark, *paths["log"]) if "log" in paths else spark.createDataFrame([], "file string, line long, text string")
     cpu, memory = atop_frames(log_lines(spark, *paths["atop"]) if "atop" in paths else spark.createDataFrame([], "text string"))
 
-    messages = ingest.messages(docs)
+    formats = {"yaml", "yml", "json", "jsonl", "mcap"}
+    if formats & paths.keys():
+        walked, _ = materialize(ingest.walk(docs), "walked")  # every table below reads it
+    else:
+        walked = spark.createDataFrame([], "file string, path string, key string, value variant")
+    messages = ingest.messages(docs, walked)
     signals = ingest.signals(messages)
     active = ingest.active_bits(signals, bits)
     none = F.lit(None).cast("string")
@@ -231,9 +237,9 @@ def run(spark: SparkSession, root: str, bits: DataFrame, quota: int = 10_000) ->
         "events": ingest.retain_topk(events, quota, ["seq"]),
         "kinds": ingest.kind_counts(events),
         "scalars": ingest.scalar_series(signals).select("series", "ts", "value", "file", "path"),
-        "fields": ingest.field_counts(docs, signals),
-        "topics": ingest.topic_counts(docs),
-        "msg_types": ingest.msg_type_counts(docs),
+        "fields": ingest.field_counts(docs, signals, walked),
+        "topics": ingest.topic_counts(docs, walked),
+        "msg_types": ingest.msg_type_counts(docs, walked),
         "cpu": cpu,
         "memory": memory,
         "skipped": skipped(files),
