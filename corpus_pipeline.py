@@ -19,6 +19,16 @@ from graphloom.storage import mark, materialize, release, release_since
 TEMPER, MOST = 0.7, 4.0
 
 
+def _apart(docs: DataFrame, new: tuple[str, ...]):
+    """docs without the names that an operator adds, and what gives its result the columns of docs back (with those replaced that are named)."""
+    away = {c: f"__own_{c}" for c in docs.columns if c in new}
+
+    def back(result: DataFrame, **replaced) -> DataFrame:
+        return result.select(*[replaced.get(c, F.col(f"`{away.get(c, c)}`")).alias(c) for c in docs.columns])
+
+    return docs.withColumnsRenamed(away), back
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity of 0.7 or more go.
 
@@ -26,8 +36,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     equal scores; an empty table stays empty.
     """
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs, model).where("predicted = 0")
-    return scored.select(*[F.col(f"`{c}`") for c in docs.columns])
+    bare, back = _apart(docs, ("score", "predicted", "offending"))
+    return back(toxicity.score(bare, model).where("predicted = 0"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,9 +51,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def redact_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by its kind in brackets; n_chars follows; a null text stays null with n_chars null."""
-    found = pii.find(docs)
-    new = {"text": F.col("pii_redacted"), "n_chars": F.length("pii_redacted").cast(docs.schema["n_chars"].dataType)}
-    return found.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
+    bare, back = _apart(docs, ("pii_base", "pii_added", "pii_redacted"))
+    return back(pii.find(bare), text=F.col("pii_redacted"), n_chars=F.length("pii_redacted").cast(docs.schema["n_chars"].dataType))
 
 
 def mix_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,8 +62,9 @@ def mix_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     documents there is one domain less, without any all rates are 1.
     """
     model = train_languages(spark, docs, sf_dir)
-    mixed, _ = mixing.mix(docs, model, temper=TEMPER, low=1.0, high=MOST)
-    return mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.greatest("copies", F.lit(1))))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    bare, back = _apart(docs, ("tokens", "membership", "rate", "copies"))
+    mixed, _ = mixing.mix(bare, model, temper=TEMPER, low=1.0, high=MOST)
+    return back(mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.greatest("copies", F.lit(1))))))
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
