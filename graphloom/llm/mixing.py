@@ -31,8 +31,8 @@ from .common import CACHE_WORDS, materialize, text_slices
 TOLERANCE = 0.01
 #: Steps of a membership within a cell of alike documents, the most cells that a fit is finished on, and its last steps over all documents.
 GRID, MOST_CELLS, POLISH = 256, 200_000, 2
-#: Windows that a domain's labelled rows are dealt over before the last choice.
-SALTS = 32
+#: Windows that a domain's labelled rows are dealt over, step by step, before the last choice; each number divides the one before.
+SALTS = (64, 8)
 STRIP = "\"'.,;:!?()[]{}<>|*#%&$@-_/\\=+~`0123456789"
 
 
@@ -131,7 +131,7 @@ def train_domains(docs: DataFrame, ids: DataFrame | None = None, rows_per_domain
     if ids is not None:
         rows = rows.join(ids.select("doc_id"), "doc_id", "left_semi")
     rows = rows.withColumn("h", F.xxhash64("doc_id"))
-    for keys in (["domain", F.pmod(F.col("h"), F.lit(SALTS))], ["domain"]):
+    for keys in (*(["domain", F.pmod(F.col("h"), F.lit(n))] for n in SALTS), ["domain"]):
         rows = rows.withColumn("rn", F.row_number().over(Window.partitionBy(*keys).orderBy("h", "doc_id"))).where(F.col("rn") <= rows_per_domain).drop("rn")
     picked = [(r["doc_id"], r["domain"]) for r in rows.select("doc_id", "domain").distinct().collect()]
     if not picked:
