@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,10 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..storage import materialize, release
 
-__all__ = ["CACHE_WORDS", "TEXT_BATCH_BYTES", "TEXT_BATCH_ROWS", "WordHashes", "materialize", "mix64", "partition_id", "release", "shingles", "table", "text_slices", "words_of"]
+__all__ = ["CACHE_WORDS", "TEXT_BATCH_BYTES", "TEXT_BATCH_ROWS", "WordHashes", "bounded_batches", "materialize", "mix64", "partition_id", "release", "shingles", "table", "text_slices", "words_of"]
 
 #: Rows, and bytes of text, that an operator on whole texts works on at once.
 TEXT_BATCH_ROWS, TEXT_BATCH_BYTES = 256, 4 << 20
+#: Bytes of an Arrow batch on its way to a Python worker; Spark's own bound is 64 MiB, of which JVM and worker hold copies.
+SENT_BYTES = 8 << 20
 #: A word cache is emptied at this size, so a worker's memory stays bounded.
 CACHE_WORDS = 400_000
 
@@ -25,11 +28,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower Spark's bound of an Arrow batch to SENT_BYTES for the session, if it is higher.
+
+    Plans run after they are built, so the value cannot be restored; it is always
+    the same one and bounds bytes, so neither results nor other plans' memory
+    depend on the order in which plans are built.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    number, unit = re.fullmatch(r"(-?\d+)\s*([a-z]?)b?", spark.conf.get(key).strip().lower()).groups()
+    now = int(number) << {"": 0, "b": 0, "k": 10, "m": 20, "g": 30, "t": 40}[unit]
+    if now <= 0 or now > SENT_BYTES:
+        spark.conf.set(key, f"{SENT_BYTES}b")
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: int, rows: int = TEXT_BATCH_ROWS, most: int = TEXT_BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut (without copying) to at most ``rows`` rows and ``most`` bytes of a text or binary column.
 
-    Spark bounds a batch to 64 MiB; what an operator makes of it at once is bounded
-    here.  A longer text is a slice by itself.  Empty batches pass.
+    What is sent at once is bounded by :func:`bounded_batches`, what an operator
+    makes of it at once is bounded here.  A longer text is a slice by itself.  Empty batches pass.
     """
     for batch in batches:
         n = batch.num_rows

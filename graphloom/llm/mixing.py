@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import CACHE_WORDS, materialize, text_slices
+from .common import CACHE_WORDS, bounded_batches, materialize, text_slices
 
 #: Distance to a target, as a part of it, that is reported.
 TOLERANCE = 0.01
@@ -145,6 +145,7 @@ def train_domains(docs: DataFrame, ids: DataFrame | None = None, rows_per_domain
 
 def with_membership(docs: DataFrame, model: DomainModel) -> DataFrame:
     """docs with tokens (words) and membership (posterior by domain, in the model's order)."""
+    bounded_batches(docs.sparkSession)
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("tokens", "membership")])
     at = docs.columns.index("text")
 

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, materialize, mix64, release, shingles, text_slices, words_of
+from .common import WordHashes, bounded_batches, materialize, mix64, release, shingles, text_slices, words_of
 from .components import connected_components
 
 SLOTS = 96
@@ -281,6 +281,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     null and kept true, as nothing names it a copy.  Other columns are ignored.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed, _ = materialize(source.mapInArrow(_signer(width, slots, bands), "doc_id long, n_shingles long, node binary, keys array<long>, sign binary"), "signed")
     classes, _ = materialize(

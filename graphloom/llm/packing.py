@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partition_id, text_slices
+from .common import bounded_batches, partition_id, text_slices
 
 CAPACITY = 1024
 #: Pieces in a buffer, and the longest piece there: shorter pieces balance better, at the price of more cuts.
@@ -153,6 +153,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     Raises before any work if the two encoders of :class:`Tokens` differ.
     """
     Tokens(tokenizer).verify()
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     fields = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.list_(pa.int32()))]
     fields = fields if with_ids else fields[:-1]

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_WORDS, text_slices
+from .common import CACHE_WORDS, bounded_batches, text_slices
 
 KINDS = ("email", "ip", "card", "phone")
 #: The kinds in the order that spans are listed in; fixed patterns find the first four.
@@ -581,6 +581,7 @@ def find(docs: DataFrame, field: Field | None = None, text_col: str = "text", se
     replaced; no row is dropped.
     """
     field, secrets = field or fit(labelled_table()), secrets or fit_secrets()
+    bounded_batches(docs.sparkSession)
     new = {"pii_base", "pii_added", "pii_redacted"}
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in new])
     at = docs.columns.index(text_col)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_WORDS, text_slices
+from .common import CACHE_WORDS, bounded_batches, text_slices
 
 SENTENCE = re.compile(r"[^.!?\n]+")
 #: Letters at a word's start that are features besides the word.
@@ -168,6 +168,7 @@ def score(docs: DataFrame, model: ToxicModel, threshold: float = 0.7, offending:
     with at least ``offending``.  Null and empty texts score as one empty
     sentence.  Clashing columns of docs are replaced; no row is dropped.
     """
+    bounded_batches(docs.sparkSession)
     out = {"score", "predicted", "offending"}
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in out])
     at = docs.columns.index("text")

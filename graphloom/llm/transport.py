@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices
+from .common import bounded_batches, text_slices
 
 # Fixed values of ISO/IEC 13818-1.
 PACKET, SYNC, PAT_PID, NULL_PID = 188, 0x47, 0, 0x1FFF
@@ -224,6 +224,7 @@ PROGRAMS = "array<struct<program:int,pmt_pid:int,pid:int,stream_type:int>>"
 
 
 def _extended(df: DataFrame, at: str, new: list[tuple[str, str, pa.DataType]], of) -> DataFrame:
+    bounded_batches(df.sparkSession)
     names = {n for n, _, _ in new}
     df = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in names])
     index = df.columns.index(at)
