@@ -141,7 +141,11 @@ def parse(text: str):
 
 @dataclass
 class Node:
-    """A value as columns: its kind (null, bool, num, str, list, dict), number, text and items; and err."""
+    """A value as columns: its kind (null, bool, num, str, list, dict), number, text and items; and err.
+
+    ``value``: of a node that is always a boolean, that boolean, never null.
+    ``const``: of a literal number or text, the literal; both save expressions.
+    """
 
     kind: Column
     num: Column
@@ -149,9 +153,13 @@ class Node:
     err: Column
     items: list | None = None
     raw: Column | None = None
+    value: Column | None = None
+    const: float | str | None = None
 
     @property
     def truth(self) -> Column:
+        if self.value is not None:
+            return self.value
         number = self.num != 0
         size = F.lit(bool(self.items)) if self.items is not None else F.coalesce(F.size(self.elements()) > 0, F.lit(True)) if self.raw is not None else F.lit(True)
         return F.coalesce(F.when(self.kind.isin("bool", "num"), number).when(self.kind == "str", self.text != "").when(self.kind == "list", size).when(self.kind == "dict", self.text != "{}"), F.lit(False))
@@ -174,12 +182,13 @@ def _lit(value) -> Node:
     if isinstance(value, bool):
         return Node(F.lit("bool"), F.lit(float(value)), null_text, no)
     if isinstance(value, int | float):
-        return Node(F.lit("num"), F.lit(float(value)), null_text, no)
-    return Node(F.lit("str"), null_num, F.lit(value), no)
+        return Node(F.lit("num"), F.lit(float(value)), null_text, no, const=float(value))
+    return Node(F.lit("str"), null_num, F.lit(value), no, const=value)
 
 
 def _bool(value: Column, err: Column) -> Node:
-    return Node(F.lit("bool"), F.coalesce(value, F.lit(False)).cast("double"), F.lit(None).cast("string"), err)
+    known = F.coalesce(value, F.lit(False))
+    return Node(F.lit("bool"), known.cast("double"), F.lit(None).cast("string"), err, value=known)
 
 
 def _kind(v: Column, schema: Column) -> Column:
@@ -251,6 +260,11 @@ def unbind(df: DataFrame, bound: Bound) -> DataFrame:
 
 
 def _equal(a: Node, b: Node) -> Column:
+    if a.const is not None and b.const is None:
+        a, b = b, a
+    if b.const is not None and a.items is None:
+        same = (a.kind == "str") & (a.text == b.const) if isinstance(b.const, str) else a.numeric & (a.num == b.const)
+        return F.coalesce(same, F.lit(False))
     nan = F.isnan(F.coalesce(a.num, F.lit(0.0))) | F.isnan(F.coalesce(b.num, F.lit(0.0)))
     if a.items is not None and b.items is not None:
         same = F.lit(len(a.items) == len(b.items))
@@ -276,6 +290,10 @@ def _ordered(op: str, a: Node, b: Node) -> tuple[Column, Column]:
 def _member(x: Node, within: Node) -> tuple[Column, Column]:
     """x in within: items of a list, keys of an object, part of a text; else an error."""
     if within.items is not None:
+        fixed = [i.const for i in within.items]
+        if fixed and x.items is None and None not in fixed:
+            numbers, texts = [i for i in fixed if not isinstance(i, str)], [i for i in fixed if isinstance(i, str)]
+            return F.coalesce(x.numeric & _in(x.num, numbers) | (x.kind == "str") & _in(x.text, texts), F.lit(False)), F.lit(False)
         return reduce(lambda c, y: c | _equal(x, y), within.items, F.lit(False)), F.lit(False)
     inside = F.when((within.kind == "str") & (x.kind == "str"), F.contains(within.text, x.text))
     ok = (within.kind == "str") & (x.kind == "str")
@@ -400,6 +418,8 @@ def compile_tree(tree, o: Ontology, params: str = "params", state: str = "state"
             return Node(F.lit("num"), -x.num, F.lit(None).cast("string"), x.err | ~x.numeric)
         a, b = go(t[1]), go(t[2])
         if op in ("and", "or"):
+            if a.value is not None and b.value is not None:
+                return _bool(a.value & b.value if op == "and" else a.value | b.value, a.err | ((a.value if op == "and" else ~a.value) & b.err))
             use_b = a.truth if op == "and" else ~a.truth
             pick = lambda x, y: F.when(use_b, y).otherwise(x)
             return Node(pick(a.kind, b.kind), pick(a.num, b.num), pick(a.text, b.text), a.err | (use_b & b.err))
@@ -475,6 +495,30 @@ def precondition_failures(preconditions: list, o: Ontology, params: str = "param
     return out
 
 
+def sorted_failures(preconditions: list, o: Ontology, bound: Bound, params: str = "params", state: str = "state") -> tuple[list[Column], list[Column]]:
+    """The hits of :func:`precondition_failures`, those that block apart from those that warn.
+
+    What a rule's failure counts as is known before any row is read; only an
+    evaluation error, which always blocks, depends on the row.
+    """
+    hard, soft = [], []
+    for pre in preconditions or []:
+        pre = {"expr": pre} if isinstance(pre, str) else pre
+        severity, broken = pre.get("severity") or "error", _failure(pre["expr"], "could not be evaluated")
+        failed = _failure(pre["expr"], pre.get("error") or f"precondition failed: {pre['expr']}", severity)
+        try:
+            node = compile_tree(parse(pre["expr"]), o, params, state, bound)
+        except GateError:
+            hard.append(broken)
+            continue
+        if severity in ("error", "fatal"):
+            hard.append(F.when(node.err, broken).when(~node.truth, failed))
+        else:
+            hard.append(F.when(node.err, broken))
+            soft.append(F.when(~node.err & ~node.truth, failed))
+    return hard, soft
+
+
 def check(calls: DataFrame, c: Catalog) -> DataFrame:
     """[G1, G12] calls (robot_id, action_id, params, state) with ok, failures, warnings, summary.
 
@@ -489,15 +533,17 @@ def check(calls: DataFrame, c: Catalog) -> DataFrame:
     loaded = {key: (json.loads(key[0] or "null") or [], json.loads(key[1] or "null") or []) for key in sets}
     calls_, bound = bind(calls, [s for p, _ in loaded.values() for s in p], [x for _, e in loaded.values() for x in e])
     robots = {robot: Ontology.of(c, robot) for _, _, robot in sets if robot is not None}
-    found = F.array(_failure(F.col("action_id"), "unknown action"))
+    none = F.array().cast(f"array<{FAILURE}>")
+    listed = lambda hits: F.array_compact(F.array(*hits)) if hits else none
+    failures, warnings = F.array(_failure(F.col("action_id"), "unknown action")), none
     for key, i in sets.items():
         specs, preconditions = loaded[key]
-        rules = parameter_failures(specs, bound=bound) + precondition_failures(preconditions, robots.get(key[2], Ontology()), bound=bound)
-        hits = F.array_compact(F.array(*rules)) if rules else F.array().cast(f"array<{FAILURE}>")
-        found = F.when(F.col("__rules") == i, hits).otherwise(found)
+        hard, soft = sorted_failures(preconditions, robots.get(key[2], Ontology()), bound)
+        here = F.col("__rules") == i
+        failures = F.when(here, listed(parameter_failures(specs, bound=bound) + hard)).otherwise(failures)
+        warnings = F.when(here, listed(soft)).otherwise(warnings) if soft else warnings
     known = c.spark.createDataFrame(number, "robot_id string, action_id string, __rules int")
-    out = calls_.join(small(known), ["robot_id", "action_id"], "left").withColumn("__found", found.cast(f"array<{FAILURE}>"))
-    hard = lambda f: f["severity"].isin("error", "fatal")
-    out = unbind(out.withColumns({"failures": F.filter("__found", hard), "warnings": F.filter("__found", lambda f: ~hard(f))}).drop("__found", "__rules"), bound)
+    out = calls_.join(small(known), ["robot_id", "action_id"], "left")
+    out = unbind(out.withColumns({"failures": failures.cast(f"array<{FAILURE}>"), "warnings": warnings.cast(f"array<{FAILURE}>")}).drop("__rules"), bound)
     summary = F.concat(F.when(F.size("failures") == 0, "OK").otherwise("BLOCKED"), F.array_join(F.transform(F.concat("failures", "warnings"), lambda f: F.concat(F.lit("\n- "), f["error"])), ""))
     return out.withColumn("ok", F.size("failures") == 0).withColumn("summary", summary).select(*calls.columns, "failures", "warnings", "ok", "summary")

@@ -472,7 +472,7 @@ def _calls(spark, d):
 
 
 def _none_as_zero(hits):
-    return F.size(F.array_compact(F.array(*hits))).cast("long")
+    return sum((h.isNotNull().cast("long") for h in hits), F.lit(0).cast("long"))
 
 
 PARAM_SQL = "(CASE WHEN l_linenumber = 7 OR l_quantity < 2 OR l_quantity > 45 THEN 1 ELSE 0 END + CASE WHEN l_discount > 0.08 THEN 1 ELSE 0 END + CASE WHEN l_returnflag NOT IN ('A', 'R', 'N') THEN 1 ELSE 0 END + CASE WHEN l_returnflag = 'N' THEN 1 ELSE 0 END)"
