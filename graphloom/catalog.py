@@ -12,11 +12,26 @@ BROADCAST_BYTES = 32 << 20
 
 
 def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
-    """df marked for broadcast if the optimiser's size of it is at most ``most``; else as it is, for a shuffled join."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """df marked for broadcast if the optimiser's size of it is at most ``most``; else as it is, for a shuffled join.
+
+    The optimiser has no size of rows that the program made (``createDataFrame``)
+    and takes them for endless: these alone are counted, up to the limit.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan()
+    size = int(str(plan.stats().sizeInBytes()))
+    if size > most and not df.isStreaming and _made_here(plan):
+        rows = most // max(1, sum(f.dataType().defaultSize() for f in df._jdf.schema().fields()))
+        size = 0 if df.limit(rows + 1).count() <= rows else size
     return F.broadcast(df) if size <= most else df
 
 
+def _made_here(plan) -> bool:
+    """Whether a plan reads nothing but rows of the program."""
+    leaves = plan.collectLeaves()
+    names = [leaves.apply(i).nodeName() for i in range(leaves.size())]
+    return bool(names) and all(n in ("LogicalRDD", "Scan ExistingRDD", "LocalRelation", "OneRowRelation") for n in names)
+
+
 @dataclass
 class Catalog:
     """objects, actions, links, issues, robots, policies.
