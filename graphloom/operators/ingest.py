@@ -13,6 +13,8 @@ from ..functions import scalars as S
 from ..model import SEVERITY_RANK, severity_rank
 from ..storage import materialize, release
 
+#: Largest quota whose rows a task holds in memory while it reads.
+HEAP_ROWS = 1 << 16
 EVENT = "ts string, kind string, source_file string, payload map<string,string>, ontology_ref string, severity string, epoch_ns long"
 
 
@@ -138,14 +140,19 @@ def top_k(df: DataFrame, key: str, order: str, k: int) -> DataFrame:
 def retain_topk(events: DataFrame, quota: int, order: list[str], session: list[str] = ()) -> DataFrame:
     """[W1] The intended retention, set-based: critical events, and the quota's worth by rank, then arrival.
 
-    Two-stage: a row among the first ``quota`` of its salt can be among the first
-    overall; so a huge session is cut in parallel before its rows meet.
+    Two-stage: a row among the first ``quota`` of its part can be among the first
+    overall; so a huge session is cut in parallel before its rows meet.  Without
+    sessions each task holds the first ``quota`` rows it has seen, so nothing is
+    sorted whole; with them, and for quotas over ``HEAP_ROWS``, parts are salts.
     """
     rank = severity_rank(F.col("severity"))
     rest = events.where("not (severity <=> 'critical')")
-    salt = F.pmod(F.xxhash64(*order), F.lit(64))
     by = [F.desc(rank), *order]
-    near = rest.withColumn("__rn", F.row_number().over(Window.partitionBy(*session, salt).orderBy(*by))).where(F.col("__rn") <= quota).drop("__rn")
+    if session or quota > HEAP_ROWS:
+        salt = F.pmod(F.xxhash64(*order), F.lit(64))
+        near = rest.withColumn("__rn", F.row_number().over(Window.partitionBy(*session, salt).orderBy(*by))).where(F.col("__rn") <= quota).drop("__rn")
+    else:
+        near = rest.orderBy(*by).limit(max(0, quota))
     critical = events.where("severity = 'critical'")
     held = F.row_number().over(Window.partitionBy(*session, F.lit(0)).orderBy(*by))
     n = critical.groupBy(*session).agg(F.count("*").alias("__c")) if session else critical.agg(F.count("*").alias("__c"))

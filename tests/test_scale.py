@@ -26,3 +26,15 @@ def test_small_counts_rows_of_the_program_up_to_the_limit(spark):
     hinted = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
     assert hinted(small(rows, 72)) and not hinted(small(rows, 71))
     assert not hinted(small(P.table(spark, SF, "events"), 10))
+
+
+@pytest.mark.parametrize("quota", [0, 7, 60, 500])
+def test_retention_sorts_no_whole_input(spark, monkeypatch, quota):
+    """Each task holds the quota's rows; the cut by salts, for larger quotas, gives the same rows."""
+    severity = F.element_at(F.array(*map(F.lit, ("error", "critical", "odd", "notice", "info"))), (F.col("id") * 7 % 5 + 1).cast("int"))
+    events = spark.range(200).select("id", F.when(F.col("id") % 9 != 0, severity).alias("severity"))
+    kept = ingest.retain_topk(events, quota, ["id"])
+    assert "TakeOrderedAndProject" in plan(kept) or not 0 < quota < 200
+    got = sorted(r["id"] for r in kept.collect())
+    monkeypatch.setattr(ingest, "HEAP_ROWS", -1)
+    assert got == sorted(r["id"] for r in ingest.retain_topk(events, quota, ["id"]).collect())
