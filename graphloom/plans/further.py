@@ -298,7 +298,8 @@ def a_field_counts(spark, d):
     head = F.regexp_replace("props", r"\}$", "")
     doc = F.parse_json(F.concat(F.lit('{"/bus/state":'), head, F.lit(',"speed":1.5,"gps":2},"mode":"x","id":3,"list":[1]}')))
     docs = P.table(spark, d, "events").select(F.lit("f").alias("file"), doc.alias("doc"))
-    return ingest.field_counts(docs, ingest.signals(ingest.messages(docs)))
+    walked = ingest.walk(docs)
+    return ingest.field_counts(docs, ingest.signals(ingest.messages(docs, walked)), walked)
 
 
 @query("SELECT event_type AS step, min(event_id) AS first FROM events WHERE user_id % 3 = 0 GROUP BY 1")

@@ -38,3 +38,16 @@ def test_retention_sorts_no_whole_input(spark, monkeypatch, quota):
     got = sorted(r["id"] for r in kept.collect())
     monkeypatch.setattr(ingest, "HEAP_ROWS", -1)
     assert got == sorted(r["id"] for r in ingest.retain_topk(events, quota, ["id"]).collect())
+
+
+def test_walk_and_signals_read_documents_once(spark, tmp_path):
+    """One pass for the entries and one for the fields, whatever the levels."""
+    assert plan(QUERIES["a_field_counts"](spark, SF)).count("FileScan parquet") == 2
+    payload = '{"a":1,"b":{"c":null,"d":[1],"gps":2},"e":[{"f":1}],"g":{},"h":null,"latitude":{"i":3}}'
+    docs = spark.createDataFrame([("f", payload), ("g", "[1]"), ("h", "3"), ("i", None)], "file string, t string").select("file", F.parse_json("t").alias("payload"))
+    got = ingest.signals(docs).select("file", "name", "field", F.to_json("value").alias("v")).collect()
+    want = [("a", "a", "1"), ("b", "b", '{"c":null,"d":[1],"gps":2}'), ("c", "b.c", "null"), ("d", "b.d", "[1]"), ("e", "e", '[{"f":1}]'), ("g", "g", "{}"), ("h", "h", "null"), ("i", "latitude.i", "3")]
+    assert sorted(map(tuple, got)) == [("f", *w) for w in want]
+    walked = ingest.walk(docs, "payload", depth=2).where("file = 'f'").select("path", "key")
+    paths = ["$.a", "$.b", "$.b.c", "$.b.d", "$.b.gps", "$.e", "$.e[0]", "$.g", "$.h", "$.latitude", "$.latitude.i"]
+    assert sorted(map(tuple, walked.collect()), key=str) == sorted(((p, None if p.endswith("]") else p.split(".")[-1]) for p in paths), key=str)
