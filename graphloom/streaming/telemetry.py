@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,6 +47,81 @@ def _stateful(df: DataFrame) -> DataFrame:
     return df
 
 
+CHANGES = ["session", "event_id", "severity", "change"]
+#: Rows of one frame given out, and of one sorted run on disk.
+CHUNK, RUN = 1 << 14, 1 << 18
+_ROW = np.dtype([("none", "?"), ("event", "<i8"), ("code", "<i4")])
+
+
+def _by_event(frames: Iterator[pd.DataFrame], run: int = RUN) -> Iterator[tuple]:
+    """(event_id, severity) of frames in order of event_id, nulls last, ties as they arrived.
+
+    Sorted runs of at most ``run`` rows go to a temporary file and are merged
+    part by part, so a batch of any size takes the memory of a run.  Severities
+    are numbers, so there may be many rows but few different ones.
+    """
+    codes: dict = {}
+    sort = lambda a: a[np.lexsort((a["event"], a["none"]))]  # noqa: E731, stable
+    held, n, ends = [], 0, [0]
+
+    def rows(a):
+        names = list(codes)
+        for none, event, code in a.tolist():
+            yield None if none else event, names[code]
+
+    with tempfile.TemporaryFile() as file:
+        for frame in frames:
+            for at in range(0, len(frame), run):
+                part = frame.iloc[at : at + run]
+                a = np.empty(len(part), _ROW)
+                a["none"] = part["event_id"].isna()
+                a["event"] = np.where(a["none"], 0, part["event_id"]).astype("int64")
+                a["code"] = [codes.setdefault(None if pd.isna(s) else s, len(codes)) for s in part["severity"]]
+                if n + len(a) > run:
+                    file.write(sort(np.concatenate(held)).tobytes())
+                    ends.append(ends[-1] + n)
+                    held, n = [], 0
+                held.append(a)
+                n += len(a)
+        if not held:
+            return
+        last = sort(np.concatenate(held))
+        if len(ends) == 1:
+            yield from rows(last)
+            return
+        file.write(last.tobytes())
+        ends.append(ends[-1] + n)
+        del held, last
+        # Of each run a part is read; what is up to the least end of a part that has more to come can go out.
+        step = max(1, run // (len(ends) - 1))
+        at, parts = ends[:-1], [np.empty(0, _ROW)] * (len(ends) - 1)
+        while True:
+            for i, p in enumerate(parts):
+                if not len(p) and at[i] < ends[i + 1]:
+                    m = min(step, ends[i + 1] - at[i])
+                    file.seek(at[i] * _ROW.itemsize)
+                    parts[i] = np.frombuffer(file.read(m * _ROW.itemsize), _ROW)
+                    at[i] += m
+            if not any(map(len, parts)):
+                return
+            # Ties: of the run with the least end all of the part goes, of later runs only what is before it.
+            end, j = min(((bool(p["none"][-1]), int(p["event"][-1])), i) for i, p in enumerate(parts) if len(p))
+            out = []
+            for i, p in enumerate(parts):
+                until = _upto(p, end, i <= j)
+                out.append(p[:until])
+                parts[i] = p[until:]
+            yield from rows(sort(np.concatenate(out)))
+
+
+def _upto(part: np.ndarray, end: tuple[bool, int], ties: bool) -> int:
+    """Rows of a sorted part before ``end``, with or without those equal to it."""
+    nulls = int(np.searchsorted(part["none"], True))
+    if end[0]:
+        return len(part) if ties else nulls
+    return int(np.searchsorted(part["event"][:nulls], end[1], "right" if ties else "left"))
+
+
 class Retention(StatefulProcessor):
     """[R1] The severity-ranked buffer of a session over all batches; a row for each event that is kept, and for each that goes later.
 
@@ -65,24 +142,26 @@ class Retention(StatefulProcessor):
         for event, severity in self.held.get() if self.held.exists() else []:
             buffer.put((event, severity), severity)
         out = []
-        arrived = pd.concat(list(rows)).sort_values("event_id", kind="stable")
-        for event, severity in zip(arrived["event_id"].tolist(), arrived["severity"].tolist(), strict=True):
+        for event, severity in _by_event(rows):
             if severity == "critical":
                 critical += 1
                 buffer.quota -= 1
                 out.append((key[0], event, severity, "kept"))
-                continue
-            entered, gone = buffer.offer((event, severity), severity or "")
-            if gone is not None:
-                out.append((key[0], *gone, "evicted"))
-            if entered:
-                out.append((key[0], event, severity, "kept"))
+            else:
+                entered, gone = buffer.offer((event, severity), severity or "")
+                if gone is not None:
+                    out.append((key[0], *gone, "evicted"))
+                if entered:
+                    out.append((key[0], event, severity, "kept"))
+            if len(out) >= CHUNK:
+                yield pd.DataFrame(out, columns=CHANGES)
+                out = []
         if kept := buffer.kept():
             self.held.put(kept)
         else:
             self.held.clear()
         self.critical.update((critical,))
-        yield pd.DataFrame(out, columns=["session", "event_id", "severity", "change"])
+        yield pd.DataFrame(out, columns=CHANGES)
 
     def close(self) -> None:
         pass

@@ -51,3 +51,63 @@ def test_walk_and_signals_read_documents_once(spark, tmp_path):
     walked = ingest.walk(docs, "payload", depth=2).where("file = 'f'").select("path", "key")
     paths = ["$.a", "$.b", "$.b.c", "$.b.d", "$.b.gps", "$.e", "$.e[0]", "$.g", "$.h", "$.latitude", "$.latitude.i"]
     assert sorted(map(tuple, walked.collect()), key=str) == sorted(((p, None if p.endswith("]") else p.split(".")[-1]) for p in paths), key=str)
+
+
+class _State:
+    """A state variable in memory."""
+
+    def __init__(self):
+        self.value = None
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    put = update
+
+    def clear(self):
+        self.value = None
+
+
+class _Handle:
+    getListState = getValueState = lambda self, *_: _State()
+
+
+def test_retention_of_a_large_batch_takes_the_memory_of_a_run():
+    import tracemalloc
+
+    import pandas as pd
+
+    from graphloom.streaming import telemetry
+
+    n, size = 600_000, 10_000
+    frames = (pd.DataFrame({"event_id": [(i * 7919) % n for i in range(at, at + size)], "severity": "critical"}) for at in range(0, n, size))
+    keeper = telemetry.Retention(3)
+    keeper.init(_Handle())
+    tracemalloc.start()
+    expected = 0
+    for out in keeper.handleInputRows(("s",), frames, None):
+        assert out["event_id"].tolist() == list(range(expected, expected + len(out)))
+        expected += len(out)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert expected == n and peak < 60 * 10**6
+
+
+@pytest.mark.parametrize("run", [1, 3, 10, 1000])
+def test_sorted_runs_keep_ties_and_nulls_in_order(run):
+    import random
+
+    import pandas as pd
+
+    from graphloom.streaming import telemetry
+
+    r = random.Random(run)
+    rows = [(r.choice([None, *range(9), 2**62 + 1]), r.choice([None, "critical", f"s{i}"])) for i in range(100)]
+    frames = [pd.DataFrame({"event_id": pd.Series([e for e, _ in rows[at : at + 8]], dtype="object"), "severity": [s for _, s in rows[at : at + 8]]}) for at in range(0, 100, 8)]
+    assert list(telemetry._by_event(iter(frames), run)) == sorted(rows, key=lambda x: (x[0] is None, x[0] or 0))
